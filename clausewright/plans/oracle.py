@@ -400,4 +400,7 @@ def compose(final: str) -> str:
     if not needed:
         return final
     body = ",\n".join(f"{n} as ({CTES[n]})" for n in CTES if n in needed)
+    own = re.match(r"\s*with\s+(?!recursive)", final)
+    if own:
+        return f"with recursive {body},\n{final[own.end():]}"
     return f"with recursive {body}\n{final}"

@@ -26,4 +26,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load() -> None:
-    from clausewright.plans import document_queries  # noqa: F401
+    from clausewright.plans import claim_queries, document_queries  # noqa: F401

@@ -383,23 +383,23 @@ CTES: dict[str, str] = {
         from v_signals where clause_type is not null)""",
 }
 
-RECURSIVE = {"v_pieces_cut", "v_resplit_cut"}
-
 
 def compose(final: str) -> str:
-    """The query with every shared table it needs, in definition order."""
-    needed: set[str] = set()
+    """The query with every shared table it needs, each after those it reads."""
+    needed: list[str] = []
 
     def visit(sql: str) -> None:
         for name in re.findall(r"\bv_\w+", sql):
-            if name in CTES and name not in needed:
-                needed.add(name)
+            if name in CTES and name not in needed and name not in open_names:
+                open_names.add(name)
                 visit(CTES[name])
+                needed.append(name)
 
+    open_names: set[str] = set()
     visit(final)
     if not needed:
         return final
-    body = ",\n".join(f"{n} as ({CTES[n]})" for n in CTES if n in needed)
+    body = ",\n".join(f"{n} as ({CTES[n]})" for n in needed)
     own = re.match(r"\s*with\s+(?!recursive)", final)
     if own:
         return f"with recursive {body},\n{final[own.end():]}"

@@ -26,4 +26,9 @@ def query(name: str, oracle: str | None = None):
 
 
 def load() -> None:
-    from clausewright.plans import claim_queries, document_queries  # noqa: F401
+    from clausewright.plans import (  # noqa: F401
+        answer_queries,
+        claim_queries,
+        document_queries,
+        eval_queries,
+    )

@@ -209,7 +209,7 @@ def claim_columns(days_held: str) -> dict[str, str]:
     unit = f"({_L} + {_N}) % 4"
     money = f"{_L} % 4"
     return {
-        "claim_id": f"{_L} * 1000000000 + l_partkey * 1000 + l_suppkey % 100 * 10 + {_N}",
+        "claim_id": f"{_L} * 100000000000 + l_partkey * 1000000 + l_suppkey % 100 * 10000 + cast(l_quantity as bigint) * 100 + {_N}",
         "policy_id": "l_partkey",
         "scenario": _cases(f"({_L} + {_N}) % 12", {k: _q(v) for k, v in SCENARIOS.items()}),
         "procedure": _cases(f"({_L} * 3 + {_N}) % 7", {k: _q(v) for k, v in PROCEDURES.items()}, "null"),

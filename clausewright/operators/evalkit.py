@@ -118,7 +118,7 @@ def answer_rows(answers: DataFrame, citations: DataFrame) -> DataFrame:
         F.count_if(~F.col("verified") & ~F.col("flag")).alias("flagged_bad"),
     )
     rows = (
-        answers.join(cited, "answer_id", "left")
+        answers.join(scale.big(cited), "answer_id", "left")
         .withColumn("cited", F.coalesce("cited", empty))
         .withColumn("against", F.coalesce("against", empty))
         .withColumn("grounded", F.coalesce("grounded", F.lit(True)))
@@ -377,7 +377,7 @@ def extraction_accuracy(facts: DataFrame, expected: DataFrame, key: str, fields:
         key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("got")) for f in fields])).alias("s")
     ).select(key, "s.field", "s.got")
     per_case = (
-        expected.join(long, [key, "field"], "left")
+        expected.join(scale.big(long), [key, "field"], "left")
         .groupBy("group", key)
         .agg(F.count_if(~F.col("value").eqNullSafe(F.col("got"))).alias("wrong"))
     )

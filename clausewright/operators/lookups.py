@@ -35,16 +35,18 @@ def rare_stems(clauses: DataFrame) -> DataFrame:
 
 def claim_stems(claims: DataFrame, text: Column) -> DataFrame:
     """(claim_id, policy_id, stem, word): the first word of each stem of a text."""
-    pairs = tx.stem_words(text)
+    stem = lambda w: F.substring(w, 1, fixed.STEM_CHARS)
     first = F.transform(
-        F.array_distinct(F.transform(pairs, lambda p: p["stem"])),
+        F.array_distinct(F.transform("_words", stem)),
         lambda s: F.struct(
             s.alias("stem"),
-            F.element_at(F.filter(pairs, lambda p: p["stem"] == s), 1)["word"].alias("word"),
+            F.element_at(F.filter("_words", lambda w: F.startswith(w, s)), 1).alias("word"),
         ),
     )
-    return claims.select("claim_id", "policy_id", F.explode(first).alias("s")).select(
-        "claim_id", "policy_id", "s.stem", "s.word"
+    return (
+        claims.select("claim_id", "policy_id", tx.stem_words(text).alias("_words"))
+        .select("claim_id", "policy_id", F.explode(first).alias("s"))
+        .select("claim_id", "policy_id", "s.stem", "s.word")
     )
 
 
@@ -100,7 +102,7 @@ def naming_exclusions(claims: DataFrame, clauses: DataFrame) -> DataFrame:
     rows = scale.salted_join(named, excluding, ["policy_id", "clause_id"], spread="claim_id")
     said = claims.select("claim_id", said_stems().alias("_said"))
     return (
-        rows.join(said, "claim_id")
+        rows.join(scale.big(said), "claim_id")
         .filter(~F.arrays_overlap("_spared", "_said"))
         .drop("_spared", "_said", "shared")
     )

@@ -10,46 +10,70 @@ from clausewright.functions import text as tx
 from clausewright.operators import scale
 
 
-def stripped_quote(quote) -> Column:
-    """The quotation's comparable form, a trailing bracketed reference removed."""
-    return F.trim(F.regexp_replace(tx.quotable(quote), fixed.RE_TRAILING_REF, ""))
+def pieces(quote) -> Column:
+    """Q2: the lines of a quotation in comparable form; null for a single line."""
+    return F.when(
+        F.contains(tx.col(quote), F.lit("\n")),
+        F.filter(
+            F.transform(F.split(tx.col(quote), "\n"), lambda p: tx.quotable(p)), lambda p: p != ""
+        ),
+    )
 
 
-def elided(quote: Column, haystack: Column) -> Column:
-    """Q2: two or more line pieces, each long enough, found in order without overlap."""
-    pieces = F.filter(
-        F.transform(F.split(quote, "\n"), lambda p: tx.quotable(p)), lambda p: p != ""
-    )
-    long_enough = F.forall(pieces, lambda p: F.length(p) >= fixed.MIN_QUOTE_CHARS)
+def elided(parts: Column, haystack: Column) -> Column:
+    """Q2: two or more pieces, each long enough, found in order without overlap."""
+    long_enough = F.forall(parts, lambda p: F.length(p) >= fixed.MIN_QUOTE_CHARS)
 
     def step(cursor, p):
-        at = _find(p, haystack, cursor)
+        at = F.call_function("locate", p, haystack, cursor)
         return F.when(cursor < 0, cursor).when(at == 0, F.lit(-1)).otherwise(at + F.length(p))
 
-    last = F.aggregate(pieces, F.lit(1), step)
-    return (F.size(pieces) >= 2) & long_enough & (last > 0)
+    last = F.aggregate(parts, F.lit(1), step)
+    return F.coalesce((F.size(parts) >= 2) & long_enough & (last > 0), F.lit(False))
 
 
-def _find(needle: Column, haystack: Column, cursor: Column) -> Column:
-    """1-based place of needle at or after the cursor, 0 if none."""
-    return F.call_function("locate", needle, haystack, cursor)
+def with_kept_prefix(df: DataFrame, failed: Column) -> DataFrame:
+    """Q3: the longest leading run of tokens the clause holds, if it is most of the quote.
 
-
-def kept_prefix(quote: Column, haystack: Column) -> Column:
-    """Q3: the longest leading run of tokens the clause holds, if it is most of the quote."""
-    tokens = F.filter(F.split(F.trim(quote), r"\s+"), lambda t: t != "")
-    whole = F.length(tx.quotable(quote))
-    prefix = lambda k: F.rtrim(
-        F.regexp_replace(F.array_join(F.slice(tokens, 1, k), " "), r"[ ,;:]+$", "")
+    Every run kept is a leading part of the normalised quote no shorter than
+    the two limits, so the shortest such part is looked up first; only quotes
+    that pass are scanned for the longest run. Needs quote, _said and _hay.
+    """
+    least = F.greatest(
+        F.lit(fixed.MIN_QUOTE_CHARS), F.ceil(F.length("_said") * fixed.MIN_KEPT_SHARE).cast("int")
+    )
+    begins = (
+        failed & F.col("_hay").isNotNull() & (F.length("_said") >= least)
+        & F.contains("_hay", F.substr("_said", F.lit(1), least))
+    )
+    df = (
+        df.withColumn("_begins", F.coalesce(begins, F.lit(False)))
+        .withColumn("_plain", F.when(F.col("_begins"), F.split(tx.normal("quote"), " ")))
+        .withColumn(
+            "_tokens",
+            F.when(
+                F.col("_begins"),
+                F.filter(F.split("quote", f"[\\s{tx.SPACES}]+"), lambda t: t != ""),
+            ),
+        )
+    )
+    run = lambda words, k: F.regexp_replace(
+        F.array_join(F.slice(words, 1, k), " "), r"[ ,;:]+$", ""
+    )
+    runs = F.transform(
+        F.sequence(F.lit(1), F.size("_plain") - 1),
+        lambda k: F.struct(k.alias("k"), tx.rejoined(run(F.col("_plain"), k)).alias("run")),
+    )
+    fits = lambda r: (
+        (F.length(r["run"]) >= fixed.MIN_QUOTE_CHARS)
+        & (F.length(r["run"]) >= fixed.MIN_KEPT_SHARE * F.length("_said"))
+        & F.contains("_hay", r["run"])
     )
-    fits = lambda k: (
-        (F.length(tx.quotable(prefix(k))) >= fixed.MIN_QUOTE_CHARS)
-        & (F.length(tx.quotable(prefix(k))) >= fixed.MIN_KEPT_SHARE * whole)
-        & F.contains(haystack, tx.quotable(prefix(k)))
+    best = F.array_max(F.transform(F.filter(runs, fits), lambda r: r["k"]))
+    df = df.withColumn("_best", F.when(F.col("_begins") & (F.size("_plain") > 1), best))
+    return df.withColumn("_kept", run(F.col("_tokens"), F.col("_best"))).drop(
+        "_begins", "_plain", "_tokens", "_best"
     )
-    sizes = F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.size(tokens) - 1))
-    best = F.array_max(F.filter(sizes, fits))
-    return F.when(best.isNotNull(), prefix(best))
 
 
 def audit_quotes(citations: DataFrame, clauses: DataFrame) -> DataFrame:
@@ -60,37 +84,32 @@ def audit_quotes(citations: DataFrame, clauses: DataFrame) -> DataFrame:
     strict check fails, and the prefix only where both fail.
     """
     source = clauses.select("policy_id", "clause_id", "clause_type", tx.quotable("text").alias("_hay"))
-    df = scale.salted_join(
-        citations, source, ["policy_id", "clause_id"], "left",
-        spread=F.struct("answer_id", "pos"),
-    ).withColumn("_needle", stripped_quote("quote"))
-    blank = F.coalesce(F.trim(F.regexp_replace("quote", r"\s+", " ")), F.lit("")) == ""
-    short = F.length("_needle") < fixed.MIN_QUOTE_CHARS
-    exact = F.contains("_hay", F.col("_needle"))
+    df = (
+        scale.salted_join(
+            citations, source, ["policy_id", "clause_id"], "left", spread=F.struct("answer_id", "pos")
+        )
+        .withColumn("_said", tx.quotable("quote"))
+        .withColumn("_needle", F.trim(F.regexp_replace("_said", fixed.RE_TRAILING_REF, "")))
+        .withColumn("_pieces", pieces("quote"))
+    )
+    blank = F.coalesce(F.col("_said"), F.lit("")) == ""
     reason = (
         F.when(F.col("_hay").isNull(), "unknown clause")
         .when(blank, "empty")
-        .when(short, "too short")
-        .when(exact, "")
-        .when(elided(F.col("quote"), F.col("_hay")), "")
+        .when(F.length("_needle") < fixed.MIN_QUOTE_CHARS, "too short")
+        .when(F.contains("_hay", F.col("_needle")), "")
+        .when(elided(F.col("_pieces"), F.col("_hay")), "")
         .otherwise("not found")
     )
-    df = df.withColumn("_reason", reason)
-    df = df.withColumn(
-        "_kept",
-        # A quotation that failed for any reason may still have a true opening.
-        F.when(
-            (F.col("_reason") != "") & F.col("_hay").isNotNull(),
-            kept_prefix(F.col("quote"), F.col("_hay")),
-        ),
-    )
+    # A quotation that failed for any reason may still have a true opening.
+    df = with_kept_prefix(df.withColumn("_reason", reason), F.col("_reason") != "")
     kept = F.col("_kept").isNotNull()
     return (
         df.withColumn("verified", (F.col("_reason") == "") | kept)
         .withColumn("reason", F.when(kept, "").otherwise(F.col("_reason")))
         .withColumn("trimmed", kept)
         .withColumn("quote", F.coalesce("_kept", "quote"))
-        .drop("_hay", "_needle", "_reason", "_kept")
+        .drop("_hay", "_said", "_needle", "_pieces", "_reason", "_kept")
     )
 
 
@@ -189,7 +208,7 @@ def find_passages(passages: DataFrame, documents: DataFrame) -> DataFrame:
     candidates = scale.salted_join(met, rarest, ["kind", "key"], spread="doc_id").select("passage_id", "doc_id")
     needles = scale.salted_join(candidates, wanted, ["passage_id"], spread="doc_id")
     return (
-        needles.join(hay, "doc_id")
+        needles.join(scale.big(hay), "doc_id")
         .filter(F.contains("hay", F.col("needle")))
         .select("passage_id", "doc_id")
     )

@@ -67,12 +67,13 @@ def term_use(clauses: DataFrame) -> DataFrame:
     a term in a row of its own.
     """
     terms = F.array_distinct(F.flatten(F.collect_list("_terms").over(_document())))
-    used = F.filter(F.col("_dictionary"), lambda t: F.contains(F.lower(F.col("text")), t))
+    used = F.filter(F.col("_dictionary"), lambda t: F.contains(F.col("_lower"), t))
     return (
         clauses.withColumn("_terms", clause_terms())
         .withColumn("_dictionary", terms)
+        .withColumn("_lower", F.lower("text"))
         .withColumn("terms_used", F.size(used).cast("bigint"))
-        .drop("_terms", "_dictionary")
+        .drop("_terms", "_dictionary", "_lower")
     )
 
 

@@ -31,9 +31,8 @@ def q1(spark, sf):
 def q2(spark, sf):
     pol = views.policies(spark, sf).select("policy_id", "clause_id", tx.quotable("text").alias("hay"))
     rows = views.citations(spark, sf).join(pol, ["policy_id", "clause_id"])
-    pieces = F.filter(F.split("quote", "\n"), lambda p: tx.quotable(p) != "")
-    return rows.filter(F.size(pieces) >= 2).select(
-        "answer_id", "pos", quotes.elided(F.col("quote"), F.col("hay")).alias("is_elided"))
+    rows = rows.withColumn("parts", quotes.pieces("quote")).filter(F.size("parts") >= 2)
+    return rows.select("answer_id", "pos", quotes.elided(F.col("parts"), F.col("hay")).alias("is_elided"))
 
 
 @query("q3_verified_prefixes", "select answer_id, pos, quote from v_audit where trimmed")
@@ -190,7 +189,7 @@ o.CTES |= {
             when v2 = 'covered' and reduced then 'conditional' else v2 end as verdict
         from verdicts)
       select f.answer_id, f.claim_id, f.verdict, f.again as asked_again,
-        coalesce(string_agg(concat(k.clause_id, '/', k.effect), ',' order by k.pos) filter (not k.noise or f.n_quiet = 0), '') as cites,
+        coalesce(string_agg(concat(k.clause_id, '/', k.effect), ',' order by k.pos) filter (k.pos is not null and (not k.noise or f.n_quiet = 0)), '') as cites,
         coalesce(bool_and(k.verified) filter (not k.noise or f.n_quiet = 0), true) as verified
       from final f left join kept k using (answer_id) group by f.answer_id, f.claim_id, f.verdict, f.again, f.n_quiet""",
 }

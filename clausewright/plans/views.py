@@ -14,7 +14,20 @@ from clausewright.sources import stores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in WIDE else df
+
+
+# Tables whose rows carry heavy expressions before the first shuffle.
+WIDE = {"documents", "lineitem", "part", "conversations", "pages", "benchmark"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores is small: spread it. Larger scans are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

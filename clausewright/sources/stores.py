@@ -139,7 +139,7 @@ def answer_rows(answers: DataFrame, citations: DataFrame) -> DataFrame:
     )
     empty = F.array().cast(packed.schema["citations"].dataType)
     return (
-        answers.join(packed, "answer_id", "left")
+        answers.join(packed.hint("merge"), "answer_id", "left")
         .withColumn("citations", F.coalesce("citations", empty))
     )
 

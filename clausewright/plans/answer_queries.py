@@ -160,13 +160,16 @@ o.CTES |= {
     "v_corrected": f"""
       with base as (
         select f.answer_id, f.claim_id, f.reduced, f.names_treatment,
+          f.verdict <> 'insufficient_information' and count(m.pos) = 0 as bare,
           case when f.verdict <> 'insufficient_information' and count(m.pos) = 0 then 'insufficient_information' else f.verdict end as v1
         from v_flags f left join v_marks m using (answer_id)
         group by f.answer_id, f.claim_id, f.reduced, f.names_treatment, f.verdict),
       fired as (
-        select distinct answer_id from v_rules),
+        select answer_id, bool_or(rule = 'R8') as r8 from v_rules group by answer_id),
       rows as (
-        select b.*, x.answer_id is not null as again from base b left join fired x using (answer_id)),
+        -- An answer without citations is unsure before the rules look at it: only R8 is left.
+        select b.* exclude (bare), x.answer_id is not null and (x.r8 or not b.bare) as again
+        from base b left join fired x using (answer_id)),
       kept as (
         select r.answer_id, m.pos, m.clause_id, case when r.again and m.cleared then 'permits' else m.effect end as effect,
           m.clause_type, m.verified, m.absent,
@@ -368,18 +371,21 @@ def spans_of_lines(spark, sf):
     return views.clauses(spark, sf).withColumn("exceptions", F.expr(f"array({', '.join(_SPAN_LIST)})"))
 
 
-_PARTS = "string_split(body, e)"
-_BEFORE = f"list_reduce({_PARTS}[1:n], lambda a, b: concat(a, e, b))"
+_BEFORE = "array_to_string(parts[1:n], chr(3))"
 
 
 @query("m4_verified_exceptions", f"""
-  select doc_id, order_idx, array_to_string(list_transform(list_filter(range(1, len(spans) + 1), lambda k:
-    len(list_filter([needles[k]], lambda e: e <> '' and len(list_filter(range(1, len({_PARTS})), lambda n: regexp_matches(
-      regexp_replace(list_last({_SPLIT_SENTENCES.format(b=_BEFORE)}), '\\([^()]*\\)', ' ', 'g'), {o.q(_EXC)}))) > 0)) > 0),
-    lambda k: spans[k]), '|') as kept
-  from (
-    select doc_id, order_idx, body, spans, list_transform(spans, lambda e: trim({o.normal('e')}, ' .,;:')) as needles from (
-      select doc_id, order_idx, {o.normal('text')} as body, [{", ".join(_SPAN_LIST)}] as spans from v_clauses))""")
+  with spans as (
+    select doc_id, order_idx, {o.normal('text')} as body, unnest([{", ".join(_SPAN_LIST)}]) as span,
+      unnest(range(1, {len(_SPAN_LIST)} + 1)) as at_ from v_clauses),
+  needles as (select *, trim({o.normal('span')}, ' .,;:') as needle from spans),
+  places as (
+    select *, unnest(range(1, len(parts))) as n from (select *, string_split(body, needle) as parts from needles where needle <> '')),
+  said as (
+    select distinct doc_id, order_idx, at_ from (select *, replace({_BEFORE}, chr(3), needle) as before from places)
+    where regexp_matches(regexp_replace(list_last({_SPLIT_SENTENCES.format(b='before')}), '\\([^()]*\\)', ' ', 'g'), {o.q(_EXC)}))
+  select doc_id, order_idx, coalesce(string_agg(case when s.at_ is not null then span end, '|' order by at_), '') as kept
+  from spans left join said s using (doc_id, order_idx, at_) group by doc_id, order_idx""")
 def m4(spark, sf):
     return corrections.verify_exceptions(spans_of_lines(spark, sf)).select(
         "doc_id", "order_idx", F.array_join("exceptions", "|").alias("kept"))

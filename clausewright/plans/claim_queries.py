@@ -229,3 +229,14 @@ def f19(spark, sf):
 
 
 __all__ = ["corrections", "oc"]
+
+
+@query("t14_analysis_profile")
+def t14(spark, sf):
+    from clausewright.operators import score
+
+    pol = views.policies(spark, sf)
+    one_each = pol.select("policy_id").distinct().withColumn("claim_id", F.col("policy_id"))
+    kept = shortlist.shortlist(one_each, pol, None, SMALL_BUDGET).select(
+        F.col("policy_id").alias("doc_id"), F.explode("kept").alias("order_idx"))
+    return score.analysis_profile(pol.withColumnRenamed("policy_id", "doc_id"), kept)

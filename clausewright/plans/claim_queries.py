@@ -11,8 +11,7 @@ from clausewright.plans import oracle_claims as oc
 from clausewright.plans import views
 from clausewright.plans.registry import query
 
-PROMPT_CHARS = 80_000  # a system prompt that leaves some policies too large
-SMALL_BUDGET = 220
+SMALL_BUDGET = oc.SMALL_BUDGET
 
 
 def prepared(spark, sf):
@@ -107,7 +106,9 @@ def named_any(spark, sf):
     )
 
 
-@query("f10_shortlist")
+@query("f10_shortlist", """
+  select claim_id, policy_id, array_to_string(kept, ',') as kept, clauses::int as clauses, used::bigint as kept_tokens,
+    all_tokens::bigint as all_tokens, types_dropped::int as types_dropped from v_fitted""")
 def f10(spark, sf):
     asked, pol = prepared(spark, sf), views.policies(spark, sf)
     named = lookups.shared_words(asked, pol)
@@ -116,9 +117,9 @@ def f10(spark, sf):
         "clauses", "kept_tokens", "all_tokens", F.size("dropped").alias("types_dropped"))
 
 
-@query("f11_clause_groups")
+@query("f11_clause_groups", "select policy_id, order_idx, group_no from v_packed where step > 0")
 def f11(spark, sf):
-    return shortlist.pack_groups(views.policies(spark, sf), 120)
+    return shortlist.pack_groups(views.policies(spark, sf), oc.SMALL_GROUP)
 
 
 def question_tables(spark, sf):

@@ -302,7 +302,10 @@ def e15(spark, sf):
     return evalkit.extraction_accuracy(prepared(spark, sf), expected, "claim_id", FIELDS)
 
 
-@query("e16_prompt_fit")
+@query("e16_prompt_fit", f"""
+  select count(*) as requests, cast(sum(len(kept)) as bigint) as clauses_kept, cast(sum(clauses) as bigint) as clauses_in_all,
+    cast(max(chars_in) as bigint) as most_chars, cast(max(used) as bigint) as most_tokens,
+    count(*) filter (all_tokens > {SMALL_BUDGET}) as over_budget, count(*) filter (len(kept) = clauses) as whole from v_fitted""")
 def e16(spark, sf):
     asked, pol = prepared(spark, sf), views.policies(spark, sf)
     rows = shortlist.shortlist(asked, pol, lookups.shared_words(asked, pol), SMALL_BUDGET)

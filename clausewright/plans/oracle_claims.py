@@ -10,6 +10,11 @@ from clausewright.plans.oracle import (
 )
 
 
+# Budgets small enough that the policies of the given tables do not all fit.
+SMALL_BUDGET = 220
+SMALL_GROUP = 120
+
+
 def days(value: str, unit: str, table: dict) -> str:
     return f"case when {value} > 0 then {value} * {case_of(unit, table)} end"
 
@@ -227,6 +232,37 @@ CTES |= {
       union select claim_id, policy_id, clause_id from v_named
       union select claim_id, policy_id, clause_id from v_triggers
       union select c.claim_id, c.policy_id, a.clause_id from v_prepared c join v_absent a using (policy_id)""",
+    "v_costs": f"""
+      select policy_id, order_idx, clause_id, clause_type, impact, length(text) as chars,
+        cast(floor(length(text) / {fixed.CHARS_PER_TOKEN}::double) as bigint) + {fixed.CLAUSE_HEADER_TOKENS} as cost from v_policies""",
+    "v_ranked": f"""
+      select claim_id, policy_id, order_idx, chars, cost, clause_type, count(*) over (partition by claim_id) as items,
+        row_number() over (partition by claim_id order by keep is null, clause_type in {q_list(fixed.DROPPED_FIRST)}, -impact, order_idx) as rn
+      from (
+        select c.claim_id, k.*, s.clause_id as keep from v_prepared c join v_costs k using (policy_id)
+        left join (select claim_id, clause_id from v_shared union select claim_id, clause_id from v_named) s
+          on s.claim_id = c.claim_id and s.clause_id = k.clause_id)""",
+    # The fold, one clause per step: an item that does not fit is skipped.
+    "v_fit": """
+      select claim_id, cast(0 as bigint) as step, cast(0 as bigint) as used, cast(0 as bigint) as chars_in, cast([] as int[]) as kept
+      from v_prepared
+      union all
+      select f.claim_id, r.rn, case when f.used + r.cost > {BUDGET} and len(f.kept) > 0 then f.used else f.used + r.cost end,
+        case when f.used + r.cost > {BUDGET} and len(f.kept) > 0 then f.chars_in else f.chars_in + r.chars end,
+        case when f.used + r.cost > {BUDGET} and len(f.kept) > 0 then f.kept else list_append(f.kept, cast(r.order_idx as int)) end
+      from v_fit f join v_ranked r on r.claim_id = f.claim_id and r.rn = f.step + 1""".replace("{BUDGET}", str(SMALL_BUDGET)),
+    "v_fitted": """
+      select f.claim_id, any_value(r.policy_id) as policy_id, f.used, f.chars_in, list_sort(f.kept) as kept, count(*) as clauses,
+        sum(r.cost) as all_tokens, count(distinct r.clause_type) filter (not list_contains(f.kept, cast(r.order_idx as int))) as types_dropped
+      from v_fit f join v_ranked r on r.claim_id = f.claim_id where f.step = r.items group by f.claim_id, f.used, f.chars_in, f.kept""",
+    "v_steps": "select *, row_number() over (partition by policy_id order by order_idx) as rn from v_costs",
+    "v_packed": f"""
+      select policy_id, cast(0 as bigint) as step, cast(0 as bigint) as used, 0 as group_no, -1 as order_idx
+      from (select distinct policy_id from v_costs)
+      union all
+      select p.policy_id, s.rn, case when p.used > 0 and p.used + s.cost > {SMALL_GROUP} then s.cost else p.used + s.cost end,
+        case when p.used > 0 and p.used + s.cost > {SMALL_GROUP} then p.group_no + 1 else p.group_no end, cast(s.order_idx as int)
+      from v_packed p join v_steps s on s.policy_id = p.policy_id and s.rn = p.step + 1""",
     "v_answers": "select claim_id, policy_id, scenario, "
     + ", ".join(f"{sql} as {name}" for name, sql in shapes.ANSWER.items())
     + " from v_claims",

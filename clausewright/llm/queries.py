@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clausewright.llm import bpe, common, decontaminate, quality, token_cache
+from clausewright.llm import bpe, common, decontaminate, quality, sharding, simhash, token_cache, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +29,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op2_toxic_segments")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "n_passages")
+
+
 @query("op3_quality_divergence")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -44,6 +55,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(rows, path, pattern))
 
 
+@query("op7_histogram_shards")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The checksum is made before the exchange, so that no text moves.
+    docs = common.table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    return sharding.assign(docs, identity=["doc_id"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_simhash_groups")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classify(common.table(spark, sf_dir, "documents"))
+
+
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import bpe, common, decontaminate, quality, sharding, simhash, token_cache, toxicity
+from clausewright.llm import bpe, common, decontaminate, quality, secrets, sharding, simhash, token_cache, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.filter_quality(docs).select("doc_id", *quality.FIELDS)
 
 
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.find(docs, secrets.train(secrets.samples(docs))))
+
+
 @query("op6_byte_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

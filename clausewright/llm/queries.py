@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import bpe, common, decontaminate, quality, secrets, sharding, simhash, token_cache, toxicity
+from clausewright.llm import bpe, common, decontaminate, pii, quality, secrets, sharding, simhash, token_cache, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_pii_surrogates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op2_toxic_segments")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import bpe, common, decontaminate, pii, quality, secrets, sharding, simhash, token_cache, toxicity
+from clausewright.llm import bpe, common, decontaminate, pii, quality, secrets, sharding, simhash, suffix_dedup, token_cache, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.filter_quality(docs).select("doc_id", *quality.FIELDS)
 
 
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "text", "cast(coalesce(octet_length(text), 0) AS bigint) AS n_bytes")
+    return suffix_dedup.remove(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_secret_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")

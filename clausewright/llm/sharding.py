@@ -117,8 +117,9 @@ def assign(
     others by default); rows equal in these stay in one shard, in any order.
     Columns named size, shard or slot give way.
     """
+    docs = docs.drop("size", "shard", "slot")
     others = identity if identity is not None else [c for c in docs.columns if c != text]
-    rows = docs.drop("size", "shard", "slot").withColumns({
+    rows = docs.withColumns({
         "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1,
         "_k1": F.xxhash64(text),
         "_k2": F.xxhash64(*[F.col(f"`{c}`") for c in others], F.lit(1)),

@@ -50,7 +50,7 @@ class Vocabulary:
         keys = np.array([a << 32 | b for a, b in pairs], dtype=np.uint64)
         values = np.array(list(pairs.values()), dtype=np.int32)
         self._build(keys, values)
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}  # ids of a piece as 32-bit numbers
 
     def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing: all keys step on together until each has a slot of its own."""
@@ -165,19 +165,22 @@ class Vocabulary:
                 ids = self.byte_ids[data.reshape(len(own), width)]
                 ids[np.arange(width) >= size[own][:, None]] = -1
                 for i, found in zip(own, self.merge_rows(ids), strict=True):
-                    self.pieces[pieces[i]] = found
+                    self.pieces[pieces[i]] = np.array(found, dtype=np.int32).tobytes()
         for i in order[np.searchsorted(size[order], LONG + 1) :].tolist():
-            self.pieces[pieces[i]] = self.merge_long(raw[i])
+            self.pieces[pieces[i]] = np.array(self.merge_long(raw[i]), dtype=np.int32).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.find(t) for t in texts]
         if len(self.pieces) > CACHED:
             self.pieces.clear()
         new = {p for c in cut for p in c}.difference(self.pieces)
         if new:
             self.learn(sorted(new))
-        known = self.pieces
-        return [[i for p in c for i in known[p]] for c in cut]
+        known = self.pieces.__getitem__
+        return [np.frombuffer(b"".join(map(known, c)), dtype=np.int32) for c in cut]
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.token.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -185,17 +188,27 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def _encoder(path: str, pattern: str):
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+_IDS = T.ArrayType(T.IntegerType())
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int32)
+    flat = np.concatenate(found) if found else np.zeros(0, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def _encoder(path: str, pattern: str, again: bool):
+    @F.arrow_udf(T.StructType([T.StructField("ids", _IDS), T.StructField("decoded", T.BinaryType())]) if again else _IDS)
     def encode(texts: pa.Array) -> pa.Array:
         model = vocabulary(path, pattern)
-        values, offsets = [], [0]
+        found, back = [], []
         for part in common.chunks(texts):
-            for ids in model.encode([x.decode() for x in part]):
-                values.append(np.array(ids, dtype=np.int32))
-                offsets.append(offsets[-1] + len(ids))
-        flat = np.concatenate(values) if values else np.zeros(0, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            held = model.encode([x.decode() for x in part])
+            found += held
+            if again:
+                back += [model.decode(ids.tolist()) for ids in held]
+        ids = _lists(found)
+        return pa.StructArray.from_arrays([ids, pa.array(back, pa.binary())], ["ids", "decoded"]) if again else ids
 
     return encode
 
@@ -203,9 +216,8 @@ def _encoder(path: str, pattern: str):
 def _decoder(path: str, pattern: str):
     @F.arrow_udf(T.BinaryType())
     def decode(ids: pa.Array) -> pa.Array:
-        token = vocabulary(path, pattern).token
-        return pa.array(
-            [None if row is None else b"".join([token[i] for i in row]) for row in ids.to_pylist()], pa.binary())
+        model = vocabulary(path, pattern)
+        return pa.array([None if row is None else model.decode(row) for row in ids.to_pylist()], pa.binary())
 
     return decode
 
@@ -216,7 +228,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     Special strings are ordinary text. An input column of that name gives way.
     """
     common.bounded_batches(docs.sparkSession)
-    return docs.withColumn(ids, _encoder(path, pattern)(F.col(text)))
+    return docs.withColumn(ids, _encoder(path, pattern, False)(F.col(text)))
 
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -224,6 +236,16 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
     return rows.withColumn(out, _decoder(path, pattern)(F.col(ids)))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """`docs` with ids and decoded, the bytes made from the ids, in one pass through Python.
+
+    `decode` after `encode` in one plan would encode twice: once for the ids and
+    once more inside the decoder. Columns of these names give way.
+    """
+    common.bounded_batches(docs.sparkSession)
+    return common.attach(docs, _encoder(path, pattern, True)(F.col(text)), ["ids", "decoded"])
+
+
 def digest(rows: DataFrame, doc_id: str = "doc_id", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     return rows.select(
         doc_id, F.size(ids).cast("bigint").alias("n_tokens"),

@@ -70,8 +70,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = common.table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') AS text")
-    rows = bpe.encode(docs, path, pattern).select("doc_id", "ids")
-    return bpe.digest(bpe.decode(rows, path, pattern))
+    return bpe.digest(bpe.round_trip(docs, path, pattern))
 
 
 @query("op7_histogram_shards")

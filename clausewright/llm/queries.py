@@ -90,11 +90,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = common.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "text", "cast(coalesce(octet_length(text), 0) AS bigint) AS n_bytes")
     counted = token_cache.count_tokens(docs, tokenizer("piece_bpe_32k.model"), common.scratch(spark, "token-counts"))
-    return counted.selectExpr(
-        "doc_id", "cast(coalesce(octet_length(text), 0) AS bigint) AS n_bytes", "n_tokens",
-        "n_tokens > 4096 AS over_limit")
+    return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 4096 AS over_limit")
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

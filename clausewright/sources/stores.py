@@ -2,68 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import tempfile
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.operators import segment
 
-BUCKETS = 64
-FILES_PER_BUCKET = 4
-
-
 def clause_key(doc_id="doc_id", order_idx="order_idx") -> Column:
     return F.concat_ws(":", F.col(doc_id).cast("string"), F.col(order_idx).cast("string"))
 
 
-def bucket_of(doc_id="doc_id", buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(F.col(doc_id)), F.lit(buckets)).cast("int")
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the folder that the cluster shares, for results that several branches read."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def _replace_documents(
-    rows: DataFrame, path: str, order: list[str], buckets: int
-) -> None:
-    """Delete-then-insert per document, as one overwrite of the touched buckets.
+def _append(rows: DataFrame, path: str, order: list[str], batch: str | None, version: int | None) -> None:
+    """One partition per batch; nothing that is stored is read or rewritten.
 
-    The rows of other documents in those buckets are read, kept and written
-    back with the new ones. They are staged first, because a job cannot
-    overwrite the files it is still reading.
+    A batch that is written again, as a stream does after a failure, replaces
+    its own partition only. The greater version of a document wins when reading.
     """
-    spark = rows.sparkSession
-    new = rows.withColumn("bucket", bucket_of(buckets=buckets))
-    keep = None
-    if _exists(spark, path):
-        touched = new.select("bucket").distinct()
-        replaced = new.select("bucket", "doc_id").distinct()
-        old = spark.read.schema(new.schema).parquet(path)
-        keep = old.join(touched, "bucket", "left_semi").join(
-            replaced, ["bucket", "doc_id"], "left_anti"
-        )
-    out = new if keep is None else new.unionByName(keep)
-    staged = f"{path.rstrip('/')}__staged"
-    out.write.mode("overwrite").parquet(staged)
+    number = time.time_ns() if version is None else version
     (
-        spark.read.schema(out.schema).parquet(staged)
-        # Several tasks per bucket, and every document whole in one of them.
-        .repartition("bucket", F.pmod(F.hash("doc_id"), F.lit(FILES_PER_BUCKET)))
-        .sortWithinPartitions("bucket", *order)
+        rows.withColumns({"version": F.lit(number).cast("bigint"), "batch": F.lit(batch or f"b{number}")})
+        .sortWithinPartitions(*order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
+        .partitionBy("batch")
         .parquet(path)
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(where))
+def latest(rows: DataFrame) -> DataFrame:
+    """Of each document the rows of its greatest version."""
+    newest = rows.groupBy("doc_id").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["doc_id", "version"], "left_semi")
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """The latest rows of a store as a new store of one batch, to be put in its place."""
+    rows = latest(spark.read.parquet(path))
+    rows.withColumn("batch", F.lit("compacted")).write.partitionBy("batch").parquet(target)
+
+
+def clause_rows(clauses: DataFrame) -> DataFrame:
+    """The rows that are stored."""
+    return clauses.withColumn("clause_key", clause_key())
 
 
-def write_clauses(clauses: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Clause store; writing a document again replaces its rows."""
-    rows = clauses.withColumn("clause_key", clause_key())
-    _replace_documents(rows, path, ["doc_id", "order_idx"], buckets)
+def write_clauses(clauses: DataFrame, path: str, batch: str | None = None, version: int | None = None) -> None:
+    """Clause store; writing a document again replaces its rows for readers."""
+    _append(clause_rows(clauses), path, ["doc_id", "order_idx"], batch, version)
 
 
 def analysis_rows(
@@ -81,13 +81,13 @@ def analysis_rows(
     )
 
 
-def write_analyses(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+def write_analyses(rows: DataFrame, path: str, batch: str | None = None, version: int | None = None) -> None:
     """The same sink as the clause store."""
-    _replace_documents(rows, path, ["doc_id", "order_idx"], buckets)
+    _append(rows, path, ["doc_id", "order_idx"], batch, version)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    return latest(spark.read.parquet(path)).drop("batch", "version")
 
 
 def clauses_with_analyses(clauses: DataFrame, analyses: DataFrame) -> DataFrame:

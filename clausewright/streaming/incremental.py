@@ -13,7 +13,7 @@ from clausewright.sources import lines as ln
 from clausewright.sources import stores
 
 DOCUMENTS = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]
+    [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("revision", T.LongType())]
 )
 
 
@@ -26,16 +26,27 @@ def plain_style(lines: DataFrame) -> DataFrame:
     )
 
 
+def newest_revisions(documents: DataFrame) -> DataFrame:
+    """(doc_id, text), one row per document: the greatest `revision`, then the latest `arrived`.
+
+    Either column may be absent. Equal in both, the greater text stands, so that
+    the result doesn't depend on the order of rows.
+    """
+    order = [F.col(c) for c in ("revision", "arrived") if c in documents.columns]
+    return documents.groupBy("doc_id").agg(F.max_by("text", F.struct(*order, "text")).alias("text"))
+
+
 def clause_batch(
-    documents: DataFrame, store: str, style: Callable[[DataFrame], DataFrame] = plain_style
+    documents: DataFrame, store: str, style: Callable[[DataFrame], DataFrame] = plain_style,
+    batch: str | None = None, version: int | None = None,
 ) -> None:
     """One batch of documents through the batch jobs into the clause store.
 
-    If a document arrives twice in a batch the longer text stands; arriving
+    If a document arrives twice in a batch the newest revision stands; arriving
     again in a later batch, it replaces its clauses.
     """
-    once = documents.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
-    stores.write_clauses(segment.segment(style(ln.line_table(once))), store)
+    once = newest_revisions(documents)
+    stores.write_clauses(segment.segment(style(ln.line_table(once))), store, batch, version)
 
 
 def stream_clauses(
@@ -43,11 +54,15 @@ def stream_clauses(
     style: Callable[[DataFrame], DataFrame] = plain_style, files_per_batch: int = 1000,
     trigger: dict | None = None,
 ):
-    """Watch a folder of parquet documents; every batch is idempotent per document."""
+    """Watch a folder of parquet documents; every batch is idempotent per document.
+
+    A batch is stored under its number: done again, it replaces only itself.
+    """
     arriving = (
         spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals)
+        .select("*", F.col("_metadata.file_modification_time").alias("arrived"))
     )
     writer = arriving.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _id: clause_batch(batch, store, style)
+        lambda rows, number: clause_batch(rows, store, style, f"stream-{number}")
     )
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.functions import fixed
 
 
 def latest_status(updates: DataFrame) -> DataFrame:
@@ -23,10 +22,6 @@ def latest_status(updates: DataFrame) -> DataFrame:
     )
 
 
-def known_states(updates: DataFrame) -> DataFrame:
-    return updates.filter(F.col("status").isin(fixed.DOCUMENT_STATES))
-
-
 def stream_latest_status(updates: DataFrame, checkpoint: str, sink, trigger: dict | None = None):
     """Start the streaming form in update mode.
 

@@ -12,13 +12,46 @@ from clausewright.streaming import incremental, status
 def test_clause_store_replaces_documents(spark, folder):
     path = os.path.join(folder, "clauses")
     schema = "doc_id long, order_idx int, text string"
-    stores.write_clauses(spark.createDataFrame([(d, i, "old") for d in range(20) for i in range(3)], schema), path, 4)
-    stores.write_clauses(spark.createDataFrame([(5, 0, "new"), (99, 0, "new")], schema), path, 4)
+    stores.write_clauses(spark.createDataFrame([(d, i, "old") for d in range(20) for i in range(3)], schema), path)
+    stores.write_clauses(spark.createDataFrame([(5, 0, "new"), (99, 0, "new")], schema), path)
     rows = stores.read_store(spark, path).collect()
     assert len(rows) == 20 * 3 - 3 + 2
     assert [r.text for r in rows if r.doc_id == 5] == ["new"] and sum(r.doc_id == 7 for r in rows) == 3
 
 
+def test_a_small_batch_touches_no_other_file(spark, folder):
+    path = os.path.join(folder, "clauses")
+    schema = "doc_id long, order_idx int, text string"
+
+    def files():
+        return {os.path.join(d, n): os.path.getmtime(os.path.join(d, n)) for d, _, names in os.walk(path) for n in names if n.endswith(".parquet")}
+
+    stores.write_clauses(spark.createDataFrame([(d, 0, "old") for d in range(1000)], schema), path, "first")
+    before = files()
+    ten = spark.createDataFrame([(d, 0, "new") for d in range(10)], schema)
+    stores.write_clauses(ten, path, "second")
+    after = files()
+    assert before.items() <= after.items() and len(after) > len(before)
+    stores.write_clauses(ten, path, "second")  # the same batch again, as after a failure
+    rows = stores.read_store(spark, path).collect()
+    assert len(rows) == 1000 and sum(r.text == "new" for r in rows) == 10
+    stores.compact(spark, path, path + "_compact")
+    assert sorted(map(tuple, stores.read_store(spark, path + "_compact").collect())) == sorted(map(tuple, rows))
+
+
+def test_a_shorter_correction_stands(spark):
+    rows = [(1, "the first and longer text", 1), (1, "short", 2), (2, "only", None)]
+    got = incremental.newest_revisions(spark.createDataFrame(rows, "doc_id long, text string, revision long"))
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "short", 2: "only"}
+
+
+def test_reproducibility_compares_the_two_least_texts(spark):
+    rows = [("g", t) for t in ["zzzz", "aaab", "b", "zzyy", "aaaa", "aaaa"]] + [("one", "x")]
+    got = {r.k: r for r in evalkit.reproducibility(spark.createDataFrame(rows, "k string, text string"), ["k"], "text").collect()}
+    assert (got["g"].outputs, got["g"].distinct_outputs, got["g"].first_difference) == (6, 5, 3)
+    assert (got["one"].distinct_outputs, got["one"].first_difference) == (1, None)
+
+
 def test_analysis_rows_skip_what_is_not_scored(spark, folder):
     keys = "doc_id long, order_idx int"
     clauses = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], keys)
@@ -26,7 +59,7 @@ def test_analysis_rows_skip_what_is_not_scored(spark, folder):
     scores = spark.createDataFrame([(1, 1, 5.0)], keys + ", impact double")
     rows = stores.analysis_rows(clauses, analyses, scores, "m", "v1")
     assert [(r.order_idx, r.model, r.prompt_version) for r in rows.collect()] == [(1, "m", "v1")]
-    stores.write_analyses(rows, os.path.join(folder, "a"), 2)
+    stores.write_analyses(rows, os.path.join(folder, "a"))
     assert stores.read_store(spark, os.path.join(folder, "a")).count() == 1
 
 

@@ -283,7 +283,7 @@ def waiting_lines(checks: DataFrame, named: DataFrame | None = None) -> DataFram
     """A line per waiting check; served ones that name nothing collapse later."""
     if named is not None:
         checks = checks.join(
-            scale.big(named.select("claim_id", "clause_id", F.col("words").alias("named"))),
+            named.select("claim_id", "clause_id", F.col("words").alias("named")),
             ["claim_id", "clause_id"], "left",
         )
     else:

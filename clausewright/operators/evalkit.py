@@ -91,15 +91,6 @@ def ranking_expectations(scored: DataFrame, expectations: DataFrame, top_n: int)
     )
 
 
-def ranking_score(checked: DataFrame) -> DataFrame:
-    return checked.agg(
-        F.count("*").alias("total"),
-        F.count_if("holds").alias("passed"),
-        F.count_if(F.col("must") & ~F.col("holds")).alias("misses"),
-        F.count_if(~F.col("must") & ~F.col("holds")).alias("violations"),
-    )
-
-
 # --- E3, E4, E10 -----------------------------------------------------------------
 
 
@@ -118,7 +109,7 @@ def answer_rows(answers: DataFrame, citations: DataFrame) -> DataFrame:
         F.count_if(~F.col("verified") & ~F.col("flag")).alias("flagged_bad"),
     )
     rows = (
-        answers.join(scale.big(cited), "answer_id", "left")
+        answers.join(cited, "answer_id", "left")
         .withColumn("cited", F.coalesce("cited", empty))
         .withColumn("against", F.coalesce("against", empty))
         .withColumn("grounded", F.coalesce("grounded", F.lit(True)))
@@ -281,23 +272,19 @@ def first_difference(a: Column, b: Column) -> Column:
 def reproducibility(outputs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Distinct outputs per group, and where the two least of them part.
 
-    Texts are compared by digest; only the two least digests' texts are kept.
+    Outputs are counted by digest. The least text of a group, and the least above
+    it, come from aggregates that keep one text per group and task.
     """
-    one = outputs.groupBy(*keys, F.sha2(text, 256).alias("_d")).agg(
-        F.count("*").alias("_n"), F.min(text).alias("_text")
-    )
-    stats = one.groupBy(*keys).agg(
-        F.sum("_n").alias("outputs"), F.count("*").alias("distinct_outputs"),
-        F.min(F.struct("_d", "_text")).alias("_a"),
-    )
+    counts = outputs.groupBy(*keys, F.sha2(text, 256).alias("_d")).agg(F.count("*").alias("_n"))
+    stats = counts.groupBy(*keys).agg(F.sum("_n").alias("outputs"), F.count("*").alias("distinct_outputs"))
+    least = outputs.groupBy(*keys).agg(F.min(text).alias("_a"))
     second = (
-        one.join(stats.select(*keys, F.col("_a._d").alias("_least")), keys)
-        .filter(F.col("_d") > F.col("_least"))
-        .groupBy(*keys).agg(F.min(F.struct("_d", "_text")).alias("_b"))
+        outputs.select(*keys, text).join(least, keys).filter(F.col(text) > F.col("_a"))
+        .groupBy(*keys).agg(F.min(text).alias("_b"))
     )
     return (
-        stats.join(second, keys, "left")
-        .withColumn("first_difference", first_difference(F.col("_a._text"), F.col("_b._text")))
+        stats.join(least, keys).join(second, keys, "left")
+        .withColumn("first_difference", first_difference(F.col("_a"), F.col("_b")))
         .drop("_a", "_b")
     )
 
@@ -377,7 +364,7 @@ def extraction_accuracy(facts: DataFrame, expected: DataFrame, key: str, fields:
         key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("got")) for f in fields])).alias("s")
     ).select(key, "s.field", "s.got")
     per_case = (
-        expected.join(scale.big(long), [key, "field"], "left")
+        expected.join(long, [key, "field"], "left")
         .groupBy("group", key)
         .agg(F.count_if(~F.col("value").eqNullSafe(F.col("got"))).alias("wrong"))
     )

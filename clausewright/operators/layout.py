@@ -52,8 +52,7 @@ def repeated_margin_keys(keyed: DataFrame) -> DataFrame:
 def drop_margin_lines(lines: DataFrame) -> DataFrame:
     """The lines that are not running headers, footers or page numbers.
 
-    The lines of a hot document are spread before the anti join; the keys are
-    few, because each one repeats.
+    The keys are few, because each one repeats.
     """
     keyed = margin_keys(lines)
     repeated = repeated_margin_keys(keyed).select("doc_id", "band", "margin_key")
@@ -76,10 +75,7 @@ def body_sizes(lines: DataFrame) -> DataFrame:
 
 
 def offset_violations(documents: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans whose slice of raw_text differs from their text.
-
-    Spans are many per document, so they are the side that is spread.
-    """
+    """Spans whose slice of raw_text differs from their text."""
     joined = spans.join(documents.select("doc_id", "raw_text"), "doc_id", "left")
     cut = F.substring(
         F.col("raw_text"), F.col("char_start").cast("int") + 1,

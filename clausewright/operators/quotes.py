@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clausewright.functions import fixed
 from clausewright.functions import text as tx
 from clausewright.operators import scale
+from clausewright.sources import stores
 
 
 def pieces(quote) -> Column:
@@ -115,6 +116,7 @@ def audit_quotes(citations: DataFrame, clauses: DataFrame) -> DataFrame:
 
 # --- Q4: which documents hold a passage -------------------------------------
 
+BROADCAST_ROWS = 50_000  # candidate pairs with their passage
 SHINGLE = 6
 EDGE = 12
 
@@ -163,18 +165,22 @@ def passage_keys(passages: DataFrame) -> DataFrame:
     return passages.select("passage_id", kind.alias("kind"), F.explode(F.array_distinct(keys)).alias("key"))
 
 
-def find_passages(passages: DataFrame, documents: DataFrame) -> DataFrame:
+def find_passages(passages: DataFrame, documents: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Q4: (passage_id, doc_id) of every document that holds a passage.
 
     passages(passage_id, text), documents(doc_id, text). Documents are reduced
     to the keys some passage has, the rarest of a passage's keys picks its
     candidates, and the text is compared for those only. Passages under 25
     characters prove nothing and are left out, as in Q1.
+
+    The candidate pairs are written once and counted. Up to `broadcast_rows` of
+    them are broadcast, so that no text moves; more are joined on the document.
     """
     wanted = passages.select("passage_id", tx.quotable("text").alias("needle")).filter(
         F.length("needle") >= fixed.MIN_QUOTE_CHARS
     )
-    keyed = passage_keys(wanted)
+    keyed = stores.written_once(passage_keys(wanted), "passage-keys")
+    kinds = {r["kind"] for r in keyed.select("kind").distinct().collect()}  # three at most
     hay = documents.select("doc_id", tx.quotable("text").alias("hay"))
     tokens = F.col("_t")
     labelled = lambda kind, xs: F.transform(
@@ -184,20 +190,17 @@ def find_passages(passages: DataFrame, documents: DataFrame) -> DataFrame:
         hay.select("doc_id", _tokens(F.col("hay")).alias("_t"))
         .select(
             "doc_id",
-            F.explode(
-                F.concat(
-                    labelled("run", _shingles(tokens)),
-                    labelled("word", F.transform(tokens, lambda t: F.xxhash64(t))),
-                    labelled("gram", _long_token_grams(tokens)),
-                )
-            ).alias("k"),
+            F.explode(F.concat(*[labelled(k, made) for k, made in {
+                "run": _shingles(tokens),
+                "word": F.transform(tokens, lambda t: F.xxhash64(t)),
+                "gram": _long_token_grams(tokens),
+            }.items() if k in kinds], F.array().cast("array<struct<kind:string,key:bigint>>"))).alias("k"),
         )
         .select("doc_id", "k.kind", "k.key")
     )
-    # Only keys some passage has; a key many documents share is spread.
-    met = scale.salted_join(
-        doc_keys, keyed.select("kind", "key").distinct(), ["kind", "key"], "left_semi", spread="doc_id"
-    )
+    # Only keys some passage has.
+    met = stores.written_once(
+        doc_keys.join(keyed.select("kind", "key").distinct(), ["kind", "key"], "left_semi"), "met-keys")
     counts = met.groupBy("kind", "key").agg(F.count("*").alias("n"))
     rarest = (
         keyed.join(counts, ["kind", "key"], "left")
@@ -205,10 +208,11 @@ def find_passages(passages: DataFrame, documents: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct("kind", "key"), F.struct(F.coalesce("n", F.lit(0)), "key")).alias("k"))
         .select("passage_id", "k.kind", "k.key")
     )
-    candidates = scale.salted_join(met, rarest, ["kind", "key"], spread="doc_id").select("passage_id", "doc_id")
-    needles = scale.salted_join(candidates, wanted, ["passage_id"], spread="doc_id")
+    candidates = met.join(rarest, ["kind", "key"]).select("passage_id", "doc_id")
+    needles = stores.written_once(candidates.join(wanted, ["passage_id"]), "passage-candidates")
+    few = needles.count() <= broadcast_rows
     return (
-        needles.join(scale.big(hay), "doc_id")
+        hay.join(F.broadcast(needles) if few else needles, "doc_id")
         .filter(F.contains("hay", F.col("needle")))
         .select("passage_id", "doc_id")
     )

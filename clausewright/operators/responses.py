@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,12 +86,27 @@ def missing_rows(clauses: DataFrame, analyses: DataFrame, keys: list[str]) -> Da
     return clauses.join(analyses.select(*keys), keys, "left_anti")
 
 
+def in_field_order(c: Column, kind: T.DataType) -> Column:
+    """The same value with the fields of every struct in it in sorted order."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*[in_field_order(c[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: in_field_order(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(
+            c, lambda _, v: in_field_order(v, kind.valueType)))))
+    return c
+
+
 def content_key(
     model: Column, messages: Column, schema: Column, options: Column,
     cache_precision: Column | None = None, runtime_version: Column | None = None,
+    messages_type: T.DataType | None = None,
 ) -> Column:
     """M9: sha256 of every input that could change the response, in sorted field order.
 
+    With `messages_type`, the type of the messages, their fields are sorted too.
     `options` is a map or a struct; a map is sorted by key first. The cache
     precision counts only when it is not f16, the runtime version only when
     it is given: a null field is not written.
@@ -100,7 +114,7 @@ def content_key(
     fields = {
         "kv_cache_type": None if cache_precision is None
         else F.when(cache_precision != "f16", cache_precision),
-        "messages": messages, "model": model, "options": options,
+        "messages": messages if messages_type is None else in_field_order(messages, messages_type), "model": model, "options": options,
         "runtime_version": runtime_version, "schema": schema,
     }
     return F.sha2(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items() if c is not None])), 256)
@@ -193,7 +207,3 @@ def prompt_audit_totals(audited: DataFrame) -> DataFrame:
     return audited.groupBy("model", "state").agg(
         F.count("*").alias("prompts"), F.max("prompt_tokens").alias("largest")
     )
-
-
-def union_all(*tables: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)

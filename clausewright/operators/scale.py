@@ -5,8 +5,7 @@ one task:
 
 * `prefix_sum` and `previous` cut a group's order into blocks, work inside the
   blocks, and carry only one row per block across the group;
-* `salted_join` broadcasts a side whose size is checked, and otherwise spreads
-  the rows of a hot key over several tasks and repeats the other side per salt.
+* `salted_join` leaves hot keys to adaptive execution, and salts on request.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
 BLOCK = 4096
 
 
@@ -24,49 +22,27 @@ def _same(left: DataFrame, right: DataFrame, keys) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-# A plan's size is estimated from compressed files and does not see explodes, so a
-# side counts as small only this many times below the broadcast threshold.
-UNSEEN_GROWTH = 64
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether Catalyst's own size estimate leaves room to broadcast this side.
-
-    Decided while the plan is built, from file sizes: no job runs. Where the
-    estimate cannot be had, the side counts as large.
-    """
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        return 0 <= estimate <= int(str(limit).rstrip("bB")) // UNSEEN_GROWTH
-    except (AttributeError, ValueError):
-        return False
-
-
-def big(df: DataFrame) -> DataFrame:
-    """A side that grows with claims or documents: shuffled, whatever its estimate says."""
-    return df.hint("merge")
-
-
 def salted_join(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
-    spread: str | Column | None = None, salts: int = SALTS,
+    spread: str | Column | None = None, salts: int | None = None,
 ) -> DataFrame:
     """Equi-join whose left side may have hot keys.
 
-    A small right side is broadcast, which leaves the left where it is. Any
-    other is shuffled: left rows of one key go to `salts` tasks, told apart by
-    `spread` (a row id), and the right side is repeated once per salt. `how`
-    must keep the left side: inner, left, left_semi or left_anti.
+    By default a plain join: adaptive execution broadcasts a side that has turned
+    out small and splits the partitions of a hot key. Where a key is measured to
+    be too hot even for that, `salts` deals its left rows over so many tasks,
+    told apart by `spread` (a row id), and repeats the right side once per salt;
+    it should grow with the executors. `how` must keep the left side: inner,
+    left, left_semi or left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted join cannot be {how}")
-    if is_small(right):
+    if salts is None:
         return left.join(right, on, how)
     row = F.struct("*") if spread is None else (F.col(spread) if isinstance(spread, str) else spread)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # The estimate does not see the copies either: never broadcast them.
+    # The estimate does not see the copies: never broadcast them.
     return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausewright.functions import fixed
 from clausewright.functions import text as tx
@@ -51,19 +52,30 @@ def q4(spark, sf):
 
 
 @query("q4_turns_in_documents", f"""
-  select conv_id * 1000 + turn as passage_id, doc_id
-  from (select *, {o.quotable('text')} as needle from conversations) b
+  select passage_id, doc_id
+  from (
+    select conv_id * 1000 + turn as passage_id, {o.quotable('text')} as needle from conversations
+    union all
+    select -1 - doc_id, {o.quotable('substring(text, 30, 90)')} from documents where doc_id % 100 = 0) b
   join (select doc_id, {o.quotable('text')} as hay from documents) d on contains(hay, needle)
   where length(needle) >= {fixed.MIN_QUOTE_CHARS}""")
 def q4_turns(spark, sf):
-    passages = views.table(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn as passage_id", "text")
-    return quotes.find_passages(passages, views.table(spark, sf, "documents").select("doc_id", "text"))
+    """Turns of conversations, and a part of every hundredth document, searched in all documents."""
+    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    turns = views.table(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn as passage_id", "text")
+    parts = docs.where("doc_id % 100 = 0").selectExpr("-1 - doc_id as passage_id", "substring(text, 30, 90) as text")
+    return quotes.find_passages(turns.union(parts), docs)
 
 
 def case_rows(spark, sf):
-    asked, pol = prepared(spark, sf), views.policies(spark, sf)
+    """Claims, policies and citations are worked out once and read by all checks."""
+    claimed = stores.written_once(views.claims(spark, sf), "claims")
+    asked = stores.written_once(claims.prepare_claims(claimed), "prepared-claims")
+    pol = stores.written_once(views.policies(spark, sf), "policies")
+    answered = views.answers_to(claimed)
+    cited = quotes.audit_quotes(views.citations_of(answered, pol), pol)
     return verdicts.case_rows(
-        views.answers(spark, sf), audited(spark, sf), asked,
+        answered, cited, asked,
         checks.waiting_checks(asked, pol), checks.reduction_checks(asked, pol), checks.window_checks(asked, pol),
         lookups.naming_exclusions(asked, pol),
         lookups.dangling_annexures(pol, "policy_id"), lookups.trigger_pairs(asked, pol))
@@ -435,6 +447,9 @@ def m8(spark, sf):
         "cover_window_days")
 
 
+MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
+
+
 def model_requests(spark, sf):
     """A request per conversation turn; turns with the same text and settings share a key."""
     turns = views.table(spark, sf, "conversations").withColumn(
@@ -445,14 +460,14 @@ def model_requests(spark, sf):
     key = responses.content_key(
         F.col("model"), messages, F.lit("clauses"), options,
         F.when(F.col("conv_id") % 5 == 0, "q8").otherwise("f16"),
-        F.when(F.col("turn") % 3 == 0, "v1"))
+        F.when(F.col("turn") % 3 == 0, "v1"), MESSAGES)
     return turns.withColumn("key", key)
 
 
 o.CTES |= {
     "v_requests": """
       select *, sha256(concat('{', case when conv_id % 5 = 0 then '"kv_cache_type":"q8",' else '' end,
-        '"messages":[{"role":"user","content":', to_json(text), '}],"model":"', model,
+        '"messages":[{"content":', to_json(text), ',"role":"user"}],"model":"', model,
         '","options":{"context":"8192","temperature":"0"},',
         case when turn % 3 = 0 then '"runtime_version":"v1",' else '' end, '"schema":"clauses"}')) as key
       from (select *, concat('model-', conv_id % 2) as model from conversations)""",
@@ -569,5 +584,3 @@ def m14(spark, sf):
         tokens.alias("prompt_tokens"), F.lit(512).alias("context"), F.lit(128).alias("answer_cap"))
     return responses.prompt_audit_totals(responses.prompt_audit(usage))
 
-
-__all__ = ["claims"]

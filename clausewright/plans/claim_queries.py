@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausewright.functions import fixed
-from clausewright.operators import checks, claims, corrections, lookups, shortlist
+from clausewright.operators import checks, claims, lookups, shortlist
 from clausewright.plans import oracle as o
 from clausewright.plans import oracle_claims as oc
 from clausewright.plans import views
 from clausewright.plans.registry import query
+from clausewright.sources import stores
 
 SMALL_BUDGET = oc.SMALL_BUDGET
 
@@ -219,9 +220,16 @@ def f18(spark, sf):
     return lookups.narrow(turns, docs, picks, named).select("claim_id", "policy_id", "clause_id", "narrowed")
 
 
-@query("f19_evidence")
+@query("f19_evidence", """
+  select claim_id, string_agg(line, chr(10) order by block, rank, minor, order_idx, line) as evidence from (
+    select claim_id, block, rank, minor, order_idx, line from v_lines_of_claims where line is not null
+    union all
+    select claim_id, block, 0, 0, -1, concat('settled and beside the point: ', string_agg(clause_id, ', ' order by order_idx, clause_id))
+    from v_lines_of_claims where line is null group by claim_id, block)
+  group by claim_id""")
 def f19(spark, sf):
-    asked, pol = prepared(spark, sf), views.policies(spark, sf)
+    asked = stores.written_once(prepared(spark, sf), "prepared-claims")
+    pol = stores.written_once(views.policies(spark, sf), "policies")
     lines = checks.waiting_lines(
         checks.waiting_checks(asked, pol), lookups.named_in_question(asked, pol)
     ).unionByName(checks.reduction_lines(checks.reduction_checks(asked, pol))).unionByName(
@@ -229,10 +237,16 @@ def f19(spark, sf):
     return checks.evidence(lines)
 
 
-__all__ = ["corrections", "oc"]
-
-
-@query("t14_analysis_profile")
+@query("t14_analysis_profile", """
+  select policy_id as doc_id, clause_type, count(*) as clauses, count(*) filter (held) as kept, count(*) filter (not held) as dropped,
+    count(*) filter (place <= 15) as in_top, count(*) filter (contains(clause_id, '#')) as repeated_ids
+  from (
+    select p.*, list_contains(f.kept, cast(p.order_idx as int)) as held,
+      row_number() over (partition by p.policy_id order by p.impact desc, p.order_idx) as place
+    from v_policies p join (
+      select f.policy_id, f.kept from v_policy_fit f
+      join (select policy_id, max(step) as step from v_policy_fit group by policy_id) using (policy_id, step)) f using (policy_id))
+  group by policy_id, clause_type""")
 def t14(spark, sf):
     from clausewright.operators import score
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from clausewright.functions import fixed
 from clausewright.plans import shapes
 from clausewright.plans.oracle import (
-    CTES, _policy_rows, case_of, count, extract, ligatures, matches, normal, plain, q, q_list,
+    CTES, _policy_rows, case_of, count, extract, ligatures, matches, plain, q, q_list,
     quotable, stem_list,
 )
 
@@ -271,8 +271,8 @@ CTES |= {
         case when clause_id is null then 'A clause that is not in the policy at all, quoted at length.'
           else {shapes.quote('chr(10)')} end as quote, effect
       from (
-        select a.*, p.clause_id, p.text, p.number, {shapes.EFFECT} as effect
-        from (select *, {shapes.CITED_IDX} as order_idx from (
+        select a.*, p.clause_id, p.text, p.number
+        from (select *, {shapes.CITED_IDX} as order_idx, {shapes.EFFECT} as effect from (
           select claim_id, policy_id, answer_id, unnest(range(1, {shapes.CITATIONS} + 1)) as j from v_answers
           where {shapes.CITATIONS} > 0)) a
         left join v_policies p on p.policy_id = a.policy_id and p.order_idx = a.order_idx)""",
@@ -306,4 +306,93 @@ CTES |= {
           from v_audit_elided))""",
 }
 
-__all__ = ["normal"]
+
+def _time(d: str) -> str:
+    """A number of days in words: whole years, else whole months, else days."""
+    def worded(n: str, unit: str) -> str:
+        return f"concat({n}, ' {unit}', case when {n} = 1 then '' else 's' end)"
+
+    return (
+        f"case when {d} is null then 'an unstated time' when {d} >= 365 and {d} % 365 = 0 then {worded(f'{d} // 365', 'year')} "
+        f"when {d} >= 30 and {d} % 30 = 0 then {worded(f'{d} // 30', 'month')} else {worded(d, 'day')} end"
+    )
+
+
+def _times(days_: str) -> str:
+    return f"array_to_string(list_transform({days_}, lambda d: {_time('d')}), ' or ')"
+
+
+def _money(n: str) -> str:
+    return (
+        f"case when {n} >= 10000000 and {n} % 10000000 = 0 then concat({n} // 10000000, ' crore') "
+        f"when {n} >= 100000 and {n} % 100000 = 0 then concat({n} // 100000, ' lakh') else concat({n}, ' rupees') end"
+    )
+
+
+CTES |= {
+    # The lines a claim's checks give; a check that settles nothing has a null line.
+    "v_wait_lines": f"""
+      select claim_id, 1 as block, rank,
+        case when rank >= 3 then (case when named then 0 else 2 end) + cast(pre_existing as int) else 0 end as minor, order_idx, clause_id,
+        case when rank = 0 then null
+          when status = 'partly_served' then concat(who, ': the wait of ', {_times('list_filter(required_days, lambda x: x <= held_days)')},
+            ' is over after ', held, '; the wait of ', {_times('list_filter(required_days, lambda x: x > held_days)')}, ' is not')
+          when is_new then concat(who, ': for earlier ailments only; this one began later')
+          when pre_existing and condition_predates = 'yes' and status = 'not_served'
+            then concat(who, ': the ailment came first and ', held, ' of ', need, ' has passed: it bars the claim')
+          when pre_existing and status <> 'served' then concat(who, ': for earlier ailments only; needs ', need, ', held ', held)
+          when status = 'unknown' then concat(who, ': needs ', need, '; time held not stated')
+          when status = 'served' then concat(who, ': the wait of ', need, ' is over after ', held)
+          when listed and not named and len(exceptions) = 0 then concat(who, ': bars only what it lists; needs ', need, ', held ', held,
+            case when listing <> '' then concat('; it lists: ', listing) else '' end)
+          else concat(who, ': needs ', need, ', held ', held, ': it bars the claim',
+            case when len(exceptions) > 0 then concat(' except ', array_to_string(exceptions, '; ')) else '' end) end as line
+      from (
+        select *, case when is_new then 1 when status = 'served' and named then 2 when status = 'served' then 0
+            when status in ('not_served', 'partly_served') then 3 else 4 end as rank
+        from (
+          select w.*, n.clause_id is not null as named, w.pre_existing and w.condition_predates = 'no' as is_new,
+            {_times('w.required_days')} as need, {_time('w.held_days')} as held,
+            concat('clause ', w.clause_id, case when w.subject <> '' then concat(' (', w.subject, ')') else '' end) as who
+          from v_waits w left join v_named n on n.claim_id = w.claim_id and n.clause_id = w.clause_id))""",
+    "v_cut_lines": f"""
+      select claim_id, 2 as block, case when status = 'applies' then 1 when status = 'unknown' then 2 when kind = 'room_cap' then 3
+          when status = 'does_not_apply' then 0 when len(named) > 0 then 4 end as rank, 0 as minor, order_idx, clause_id,
+        case when kind = 'copay' then case status
+            when 'applies' then case when copay_min_age_at_inception is null then concat(who, copay_percent, '% co-payment on every claim that is paid')
+              else concat(who, copay_percent, '% co-payment applies: aged ', inception_age, ' at the start, limit ', copay_min_age_at_inception) end
+            when 'unknown' then concat(who, copay_percent, '% co-payment cannot be settled: age at the start not stated') end
+          when kind = 'room_cap' then case status
+            when 'applies' then concat(who, cap, '; charged ', {_money('room_rent_per_day_inr')}, ', over it')
+            when 'unknown' then concat(who, room, ' cap cannot be settled: a figure is missing')
+            when 'does_not_apply' then concat(who, cap, '; charged ', {_money('room_rent_per_day_inr')}, ', within it') end
+          when status = 'judgement' and len(named) > 0 then concat(who, 'limits ', array_to_string(named, ', '), '; read it') end as line
+      from (
+        select * replace (cast(limit_inr as bigint) as limit_inr), concat('clause ', clause_id, ': ') as who,
+          case when is_icu then 'intensive care' else 'room' end as room,
+          concat(cap_percent, '% of ', {_money('sum_insured_rupees')}, ' allows ', {_money('cast(limit_inr as bigint)')}, ' a day for ',
+            case when is_icu then 'intensive care' else 'room' end) as cap
+        from v_cuts where status <> 'not_raised')
+      where rank is not null""",
+    "v_window_lines": """
+      select claim_id, 3 as block, 1 as rank, 0 as minor, order_idx, clause_id,
+        concat('clause ', clause_id, ': pays within ', window_days, ' days ',
+          case when anchor = 'after_discharge' then 'after discharge' else 'before admission' end, '; ',
+          case status when 'outside' then concat(expense_days, ' days is outside') when 'within' then concat(expense_days, ' days is within')
+            else 'how many days is not stated' end) as line
+      from v_windows where status <> 'not_raised'""",
+    "v_lines_of_claims": """
+      select claim_id, block, rank, minor, order_idx, clause_id, line from v_wait_lines
+      union all select claim_id, block, rank, minor, order_idx, clause_id, line from v_cut_lines
+      union all select claim_id, block, rank, minor, order_idx, clause_id, line from v_window_lines""",
+    # The same fold as v_fit, for policies without a claim.
+    "v_policy_rank": f"""
+      select policy_id, order_idx, cost,
+        row_number() over (partition by policy_id order by clause_type in {q_list(fixed.DROPPED_FIRST)}, -impact, order_idx) as rn from v_costs""",
+    "v_policy_fit": f"""
+      select policy_id, cast(0 as bigint) as step, cast(0 as bigint) as used, cast([] as int[]) as kept from (select distinct policy_id from v_costs)
+      union all
+      select f.policy_id, r.rn, case when f.used + r.cost > {SMALL_BUDGET} and len(f.kept) > 0 then f.used else f.used + r.cost end,
+        case when f.used + r.cost > {SMALL_BUDGET} and len(f.kept) > 0 then f.kept else list_append(f.kept, cast(r.order_idx as int)) end
+      from v_policy_fit f join v_policy_rank r on r.policy_id = f.policy_id and r.rn = f.step + 1""",
+}

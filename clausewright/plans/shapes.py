@@ -187,8 +187,8 @@ SCENARIOS = {
     2: "I was drinking heavily and fell down the stairs after I took the policy out.",
     3: "I was arrested while shoplifting and hurt my knee.",
     4: "I fell ill on holiday in Dubai and was treated there.",
-    5: "The knee trouble only started after I took the policy out and needs a knee replacement.",
-    6: "I had a kidney stone, which I never had before taking the policy.",
+    5: "Pain in my knee began some weeks after I bought the policy, so I am to get a knee replacement.",
+    6: "A kidney stone had to be removed; I had never had one and never had pain before buying the policy.",
     7: "My mother, who is 75, broke her hip. A thief hurt her while stealing my bag.",
     8: "I want rhinoplasty. My employer's group insurance cover paid part. I left my old insurer; I hold a second policy.",
     9: "I was in a road accident and needed dialysis at a listed centre in Chennai after a trip to Thailand.",
@@ -256,8 +256,8 @@ ANSWER = {
 EFFECT_OF = {0: "denies", 1: "delays", 2: "reduces", 3: "requires", 4: "permits"}
 # Which clause the j-th citation of an answer is of; answers have 0 to 3.
 CITED_IDX = "cast((claim_id + j * 5) % 15 as int)"
-CITATIONS = "cast(claim_id % 4 as int)"
-EFFECT = _cases("(claim_id + j * 3) % 5", {k: _q(v) for k, v in EFFECT_OF.items()})
+CITATIONS = "cast((claim_id + policy_id) % 4 as int)"
+EFFECT = _cases("(claim_id + policy_id * j) % 5", {k: _q(v) for k, v in EFFECT_OF.items()})
 
 
 def quote(newline: str) -> str:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clausewright.functions import fixed
-from clausewright.functions import text as tx
 from clausewright.operators import score, segment
 from clausewright.plans import shapes
 from clausewright.sources import lines as ln
@@ -14,20 +12,7 @@ from clausewright.sources import stores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in WIDE else df
-
-
-# Tables whose rows carry heavy expressions before the first shuffle.
-WIDE = {"documents", "lineitem", "part", "conversations", "pages", "benchmark"}
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer splits than cores is small: spread it. Larger scans are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,21 +101,29 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = claims(spark, sf_dir).select("claim_id", "policy_id", "scenario")
+def answers_to(claimed: DataFrame) -> DataFrame:
+    base = claimed.select("claim_id", "policy_id", "scenario")
     return base.selectExpr("*", *[f"{sql} as {name}" for name, sql in shapes.ANSWER.items()])
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers_to(claims(spark, sf_dir))
+
+
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citations_of(answers(spark, sf_dir), policies(spark, sf_dir))
+
+
+def citations_of(answered: DataFrame, pol: DataFrame) -> DataFrame:
     """Citations of each answer; the clause may not exist, the quote may be damaged."""
     cited = (
-        answers(spark, sf_dir)
+        answered
         .filter(F.expr(f"{shapes.CITATIONS} > 0"))
         .select("claim_id", "policy_id", "answer_id", F.expr(f"explode(sequence(1, {shapes.CITATIONS}))").alias("j"))
         .withColumn("order_idx", F.expr(shapes.CITED_IDX))
         .withColumn("effect", F.expr(shapes.EFFECT))
     )
-    source = policies(spark, sf_dir).select("policy_id", "order_idx", "clause_id", "text", "number")
+    source = pol.select("policy_id", "order_idx", "clause_id", "text", "number")
     joined = cited.join(source, ["policy_id", "order_idx"], "left")
     return joined.select(
         "answer_id", "claim_id", "policy_id", F.col("j").alias("pos"),
@@ -141,10 +134,3 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("quote"),
         "effect",
     )
-
-
-def host_of(url: str):
-    return F.regexp_extract(url, r"^https?://([^/?#]+)", 1)
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["fixed", "tx"]

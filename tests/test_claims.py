@@ -187,16 +187,16 @@ def test_salted_join_equals_plain_join_on_a_hot_key(spark):
     left = spark.range(5000).selectExpr("id", "case when id % 3 = 0 then 0 else id % 50 end as k")
     right = spark.range(40).selectExpr("id as k", "id * 2 as v")
     for how in ("inner", "left", "left_semi", "left_anti"):
-        plan = scale.salted_join(left, right, ["k"], how, spread="id")
+        plan = scale.salted_join(left, right, ["k"], how, spread="id", salts=7)
         assert sorted(map(tuple, plan.collect()), key=str) == sorted(map(tuple, left.join(right, ["k"], how).select(plan.columns).collect()), key=str)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
 
 
 def test_exceptions_need_an_exception_word(spark):
-    text = "No cover for miscarriage (unless due to an accident) and lawful ending. Rs. 10 unless by a burn."
-    df = spark.createDataFrame([(1, text, "exclusion", ["lawful ending", "due to an accident", "by a burn", "absent"])],
+    text = "No payment for eye glasses (unless after a fall) and hearing aids. Rs. 10 unless by a burn."
+    df = spark.createDataFrame([(1, text, "exclusion", ["hearing aids", "after a fall", "by a burn", "absent"])],
                                "id long, text string, clause_type string, exceptions array<string>")
-    assert corrections.verify_exceptions(df).collect()[0].exceptions == ["due to an accident", "by a burn"]
+    assert corrections.verify_exceptions(df).collect()[0].exceptions == ["after a fall", "by a burn"]
     df = spark.createDataFrame([(1, "Costs of birth: a. all births except ectopic pregnancy b. other", "exclusion", [])],
                                "id long, text string, clause_type string, exceptions array<string>")
     assert corrections.add_trailing_exceptions(df).collect()[0].exceptions == ["ectopic pregnancy"]
@@ -281,6 +281,17 @@ def test_second_answer_replaces_a_contradicted_one(spark):
     assert verdicts.correct_verdicts(rows, second).collect()[0].verdict == "not_covered"
 
 
+def test_content_keys_ignore_field_order_inside_messages(spark):
+    from pyspark.sql import types as T
+
+    def key(*names):
+        kind = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        said = F.array(F.struct(*[F.lit({"role": "user", "content": "hi"}[n]).alias(n) for n in names]))
+        return spark.range(1).select(responses.content_key(
+            F.lit("m"), said, F.lit("s"), F.lit("o"), messages_type=kind)).collect()[0][0]
+    assert key("role", "content") == key("content", "role")
+
+
 def test_content_keys_ignore_map_order_and_default_precision(spark):
     df = spark.range(1)
     def key(options, precision=None):

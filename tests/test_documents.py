@@ -73,9 +73,9 @@ def test_numbering(spark):
 
 def test_despaced_heading(spark):
     df = spark.createDataFrame(
-        [("S T A N D A R D  E X C L U S I O N S",), ("C O N D ITION S",), ("A plain line of words",)], "t string")
+        [("G E N E R A L  T E R M S",), ("P A Y M ENT S",), ("A plain line of words",)], "t string")
     got = [r[0] for r in df.select(tx.despaced("t")).collect()]
-    assert got == ["STANDARD EXCLUSIONS", "CONDITIONS", "A plain line of words"]
+    assert got == ["GENERAL TERMS", "PAYMENTS", "A plain line of words"]
 
 
 def test_sections_numbers_and_lone_markers(spark):
@@ -206,22 +206,16 @@ def test_margin_lines_go_only_when_they_repeat(spark):
     assert sorted(r.text for r in kept) == ["Body 0", "Body 1", "Body 2", "Body 3", "Body 4", "Body 5", "Top", "Top"]
 
 
-def brute_syllables(word):
-    word, groups, before = word.lower(), 0, False
-    for ch in word:
-        vowel = ch in "aeiouy"
-        groups += vowel and not before
-        before = vowel
-    if word.endswith("e") and not word.endswith(("le", "ee")) and groups > 1:
-        groups -= 1
-    return max(groups, 1)
+# Counted by hand: runs of vowels, an e at the end left out unless it follows l or e, one at least.
+SYLLABLES = {
+    "scale": 2, "table": 2, "employee": 2, "indemnify": 4, "the": 1, "he": 1, "rhythm": 1, "hmm": 1, "queue": 1, "care": 1,
+    "e": 1, "pole": 2, "agree": 2, "idea": 2, "Xyz": 1, "bee": 1, "sea": 1, "made": 1, "re-entry": 3, "don't": 1,
+}
 
 
-def test_syllables_match_brute_force(spark):
-    words = ["scale", "table", "employee", "indemnify", "the", "he", "rhythm", "hmm", "re-entry", "don't", "queue",
-             "care", "one-e", "e", "pole", "agree", "idea", "Xyz", "bee", "sea", "made", "-made"]
-    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", tx.syllable_count("w").alias("n"))
-    assert {r.w: r.n for r in df.collect()} == {w: brute_syllables(w.lstrip("-")) for w in words}
+def test_syllables(spark):
+    df = spark.createDataFrame([(w,) for w in SYLLABLES], "w string").select("w", tx.syllable_count("w").alias("n"))
+    assert {r.w: r.n for r in df.collect()} == SYLLABLES
 
 
 def test_scores_stay_in_range_and_omit_unanalysed(spark):

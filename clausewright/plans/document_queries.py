@@ -141,26 +141,35 @@ def b9c(spark, sf):
 
 
 @query("s2_html_lines", f"""
-  with body as (
-    select page_id, regexp_extract_all(regexp_replace(html, {o.q(ln.RE_DROPPED)}, '', 'g'), {o.q(ln.RE_BLOCK)}) as blocks from pages),
-  rows as (select page_id, unnest(blocks) as b, generate_subscripts(blocks, 1) - 1 as block_no from body),
-  parts as (
-    select page_id, block_no, lower({o.extract('b', ln.RE_BLOCK, 1)}) as tag, {o.extract('b', ln.RE_BLOCK, 2)} as inside from rows),
-  texts as (
-    select *, trim(regexp_replace({o.unescape("regexp_replace(inside, " + o.q(ln.RE_TAG) + ", ' ', 'g')")}, '[\\x00-\\x20]+', ' ', 'g')) as text,
-      regexp_matches(tag, '^h[1-6]$') as heading,
+  with texts as (
+    select *, regexp_matches(tag, '^h[1-6]$') as heading,
       len(list_filter(regexp_split_to_array(inside, '(?is)</?(?:b|strong)\\b[^>]*>'),
         lambda s: trim(regexp_replace(s, {o.q(ln.RE_TAG)}, '', 'g')) <> '')) as spans
-    from parts)
-  select page_id, block_no, tag, text, {o.case_of('tag', ln.TAG_SIZES)}::double as size,
+    from v_html_lines)
+  select page_id, block_no, tag, text, coalesce({o.case_of('tag', ln.TAG_SIZES)}, {ln.TEXT_SIZE})::double as size,
     heading or {o.matches('inside', ln.RE_BOLD)} as bold,
     case when heading then true when spans <= 1 then {o.matches('inside', ln.RE_BOLD)}
       else {o.matches('inside', ln.RE_BOLD_LATER)} end as words_bold
-  from texts where text <> ''""")
+  from texts""")
 def s2(spark, sf):
     return ln.html_lines(views.table(spark, sf, "pages"))
 
 
+@query("s2_visible_characters", f"""
+  select page_id, n as visible, n as in_lines from (
+    select page_id, length(regexp_replace({o.unescape(
+      "regexp_replace(regexp_replace(html, " + o.q(ln.RE_DROPPED) + ", '', 'g'), '<[^>]*>', ' ', 'g')")}, '[\\x00-\\x20]+', '', 'g')) as n
+    from pages)""")
+def s2_visible(spark, sf):
+    """Every visible character of a page is in a line: what is left of the page without its tags, and the lines."""
+    pages = views.table(spark, sf, "pages")
+    blank = r"[\x00-\x20]+"
+    seen = ln.unescape(F.regexp_replace(F.regexp_replace("html", ln.RE_DROPPED, ""), ln.RE_TAG, " "))
+    visible = pages.select("page_id", F.length(F.regexp_replace(seen, blank, "")).cast("bigint").alias("visible"))
+    held = ln.html_lines(pages).groupBy("page_id").agg(F.sum(F.length(F.regexp_replace("text", blank, ""))).alias("in_lines"))
+    return visible.join(held, "page_id", "left").select("page_id", "visible", F.coalesce("in_lines", F.lit(0)).alias("in_lines"))
+
+
 @query("s6_clauses_with_analyses", """
   select c.doc_id, c.order_idx, c.number, a.clause_type, a.likelihood, a.severity
   from v_clauses c left join (select doc_id, order_idx, clause_type, likelihood, severity from v_analysed

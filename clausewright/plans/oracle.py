@@ -320,13 +320,22 @@ CTES: dict[str, str] = {
         from (
           select page_id as page, regexp_extract(url, '^https?://([^/?#]+)', 1) as doc_id, text,
             row_number() over (partition by page_id order by block_no) - 1 as line_no
+          from v_html_lines))""",
+    # Tags of lines become marks; what stands between two marks is a line.
+    "v_html_lines": rf"""
+      select page_id, url, block_no, inside, case when name = '' or name[1] = '/' or name in ('br', 'hr') then 'text' else name end as tag, text
+      from (
+        select *, trim(regexp_replace({unescape("regexp_replace(inside, " + q(ln.RE_TAG) + ", ' ', 'g')")}, '[\x00-\x20]+', ' ', 'g')) as text
+        from (
+          select page_id, url, block_no, case when block_no = 0 then '' else lower(split_part(piece, chr(2), 1)) end as name,
+            case when block_no = 0 then piece else split_part(piece, chr(2), 2) end as inside
           from (
-            select page_id, url, block_no,
-              trim(regexp_replace({unescape("regexp_replace(" + extract('b', ln.RE_BLOCK, 2) + ", " + q(ln.RE_TAG) + ", ' ', 'g')")}, '[\x00-\x20]+', ' ', 'g')) as text
+            select page_id, url, unnest(pieces) as piece, generate_subscripts(pieces, 1) - 1 as block_no
             from (
-              select page_id, url, unnest(blocks) as b, generate_subscripts(blocks, 1) as block_no
-              from (select page_id, url, regexp_extract_all(regexp_replace(html, {q(ln.RE_DROPPED)}, '', 'g'), {q(ln.RE_BLOCK)}) as blocks from pages)))
-          where text <> ''))""",
+              select page_id, url, string_split(regexp_replace(regexp_replace(html, {q(ln.RE_DROPPED)}, '', 'g'),
+                '(?is)<(/?(?:{ln.BLOCKS}))\b[^>]*>', chr(1) || '\1' || chr(2), 'g'), chr(1)) as pieces
+              from pages))))
+      where text <> ''""",
     "v_repeated": f"""
       select doc_id, band, margin_key, count(distinct page) as n_pages, any_value(doc_pages) as doc_pages
       from v_margins join (select doc_id, count(distinct page) as doc_pages from v_margins group by doc_id) using (doc_id)

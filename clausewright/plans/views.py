@@ -49,7 +49,7 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a host as one document: styled lines with their place on the page."""
     pages = table(spark, sf_dir, "pages")
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
-    lines = ln.html_lines(pages).join(pages.select("page_id", host.alias("doc_id")), "page_id")
+    lines = ln.html_lines(pages.withColumn("doc_id", host), keep=["doc_id"])
     height = F.count("*").over(Window.partitionBy("page_id")) * 10.0
     order = Window.partitionBy("page_id").orderBy("block_no")
     row = F.row_number().over(order) - 1

@@ -60,41 +60,65 @@ def raw_text(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(joined.alias("raw_text"))
 
 
-# --- fixed values: block tags read as lines, and their type sizes ----------
+# Type sizes by tag; other text has the size of a paragraph.
 TAG_SIZES = {"h1": 20.0, "h2": 17.0, "h3": 14.0, "h4": 12.0, "h5": 11.0, "h6": 10.5,
-             "p": 10.0, "li": 10.0, "td": 9.0}
-RE_DROPPED = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-RE_BLOCK = r"(?is)<(h[1-6]|p|li|td)\b[^>]*>(.*?)(?:</(?:h[1-6]|p|li|td)>|$)"
-RE_OPENS_BOLD = r"(?is)^\s*<(?:b|strong)\b"
+             "p": 10.0, "li": 10.0, "td": 9.0, "th": 9.0}
+TEXT_SIZE = 10.0
+# Tags that begin or end a line; all others stand inside one.
+BLOCKS = (
+    "html|body|main|section|article|aside|header|footer|nav|div|address|blockquote|figure|figcaption|form|fieldset|"
+    "h[1-6]|p|br|hr|li|ul|ol|dl|dt|dd|table|caption|thead|tbody|tfoot|tr|th|td|pre"
+)
+RE_DROPPED = r"(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+RE_BLOCK_TAG = rf"(?is)^<(/?(?:{BLOCKS}))\b[^>]*>"
 RE_BOLD = r"(?is)<(?:b|strong)\b"
 RE_BOLD_LATER = r"(?is)[^\s<>][^<>]*<(?:b|strong)\b|^\s*<(?:b|strong)\b[^>]*>[^<]*</(?:b|strong)>.*<(?:b|strong)\b"
 RE_TAG = r"(?s)<[^>]*>"
-# --- fixed values: the entities the pages use
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-
-
-def _unescape(c):
+# Named characters; the ampersand comes last, as it may spell another.
+ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®",
+    "&trade;": "™", "&middot;": "·", "&bull;": "•", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&lsquo;": "‘",
+    "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&pound;": "£",
+    "&deg;": "°", "&sect;": "§", "&para;": "¶", "&times;": "×", "&amp;": "&",
+}
+
+
+def unescape(c):
+    """Named characters, and numbers in decimal form."""
+    parts = F.split(c, r"&#(?=[0-9]{1,6};)")
+    numbered = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(
+        F.decode(F.unhex(F.lpad(F.hex(F.substring_index(p, ";", 1).cast("bigint")), 8, "0")), "UTF-32"),
+        F.substring(p, F.instr(p, ";") + 1, F.length(p))))
+    c = F.when(F.size(parts) > 1, F.concat(parts[0], F.array_join(numbered, ""))).otherwise(c)
     for name, char in ENTITIES.items():
         c = F.replace(c, F.lit(name), F.lit(char))
     return c
 
 
-def html_lines(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """HTML pages to styled lines. A heading tag or a bold run makes a line bold."""
-    body = F.regexp_replace(F.col(html), RE_DROPPED, "")
-    blocks = F.regexp_extract_all(body, F.lit(RE_BLOCK), F.lit(0))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.posexplode(blocks).alias("block_no", "_b"))
-    tag = F.lower(F.regexp_extract("_b", RE_BLOCK, 1))
-    inner = F.regexp_extract("_b", RE_BLOCK, 2)
+def html_lines(pages: DataFrame, page_id: str = "page_id", html: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """HTML pages to styled lines, with the columns `keep` of the page.
+
+    Every text node outside the head, scripts, styles and comments is in a line.
+    A line begins at each tag of `BLOCKS`; its tag is the one that opens it, or
+    `text` where it follows a closing tag or a break. A heading tag or a bold run
+    makes a line bold.
+    """
+    # A piece before the first tag, so that all pages are counted alike.
+    body = F.concat(F.lit(" "), F.regexp_replace(F.col(html), RE_DROPPED, ""))
+    pieces = F.split(body, rf"(?is)(?=</?(?:{BLOCKS})\b)", -1)
+    rows = pages.select(F.col(page_id).alias("page_id"), *(keep or []), F.posexplode(pieces).alias("block_no", "_b"))
+    opened = F.lower(F.regexp_extract("_b", RE_BLOCK_TAG, 1))
+    tag = F.when((opened == "") | opened.startswith("/") | opened.isin("br", "hr"), "text").otherwise(opened)
+    inner = F.regexp_replace("_b", RE_BLOCK_TAG, "")
     spans = F.filter(
         F.split(inner, r"(?is)</?(?:b|strong)\b[^>]*>"), lambda s: F.trim(F.regexp_replace(s, RE_TAG, "")) != ""
     )
-    text = F.trim(F.regexp_replace(_unescape(F.regexp_replace(inner, RE_TAG, " ")), r"[\x00-\x20]+", " "))
+    text = F.trim(F.regexp_replace(unescape(F.regexp_replace(inner, RE_TAG, " ")), r"[\x00-\x20]+", " "))
     heading = tag.rlike("^h[1-6]$")
     return (
         rows.select(
-            "page_id", "block_no", tag.alias("tag"), text.alias("text"),
-            tx.lookup(tag, TAG_SIZES).alias("size"),
+            "page_id", *(keep or []), "block_no", tag.alias("tag"), text.alias("text"),
+            F.coalesce(tx.lookup(tag, TAG_SIZES), F.lit(TEXT_SIZE)).alias("size"),
             (heading | inner.rlike(RE_BOLD)).alias("bold"),
             # Bold past the first run of text; a line of one run is all words.
             F.when(heading, F.lit(True))

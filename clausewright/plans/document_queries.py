@@ -12,6 +12,7 @@ from clausewright.plans import views
 from clausewright.plans.registry import query
 from clausewright.sources import lines as ln
 from clausewright.sources import stores
+from clausewright.streaming import incremental
 
 CLAUSE = "doc_id, order_idx, section_path, number, heading, text, page_start, page_end, char_start, char_end, is_heading"
 
@@ -170,6 +171,53 @@ def s2_visible(spark, sf):
     return visible.join(held, "page_id", "left").select("page_id", "visible", F.coalesce("in_lines", F.lit(0)).alias("in_lines"))
 
 
+@query("s4_store_rows", """
+  select doc_id, order_idx, concat(doc_id, ':', order_idx) as clause_key from v_clauses where doc_id % 5 <> 0 or order_idx = 0""")
+def s4(spark, sf):
+    """Two batches of the store as a reader sees them: in the second every fifth document has its first clause only."""
+    rows = stores.clause_rows(views.clauses(spark, sf))
+    second = rows.where("doc_id % 5 = 0 and order_idx = 0").withColumn("version", F.lit(2))
+    return stores.latest(rows.withColumn("version", F.lit(1)).unionByName(second)).select("doc_id", "order_idx", "clause_key")
+
+
+@query("s5_analysis_rows", """
+  select doc_id, order_idx, concat(doc_id, ':', order_idx) as clause_key, clause_type, impact, 'model-1' as model, 'v2' as prompt_version
+  from v_scored where impact > 10""")
+def s5(spark, sf):
+    """Rows with provenance; a clause without an analysis or a score of more than ten is left out."""
+    analysed = views.analysed_clauses(spark, sf).filter("clause_type is not null")
+    scores = views.scored_clauses(spark, sf).filter("impact > 10").select("doc_id", "order_idx", "impact")
+    rows = stores.analysis_rows(
+        views.clauses(spark, sf).select("doc_id", "order_idx"), analysed.select("doc_id", "order_idx", "clause_type"),
+        scores, "model-1", "v2")
+    return rows.select("doc_id", "order_idx", "clause_key", "clause_type", "impact", "model", "prompt_version")
+
+
+@query("s8_fingerprints", """
+  select concat('d', doc_id) as name, case when doc_id % 11 = 0 then 'extra' when doc_id % 13 = 0 then 'missing'
+    when doc_id % 7 = 0 then 'changed' else 'ok' end as status
+  from documents where not (doc_id % 11 = 0 and doc_id % 13 = 0)""")
+def s8(spark, sf):
+    """Texts as files against a manifest that lacks some, has others too many and some with another content."""
+    docs = views.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("name"), "doc_id", "text")
+    files = docs.where("doc_id % 13 <> 0").select(
+        F.concat(F.lit("store/in/"), F.col("name")).alias("path"), F.col("text").cast("binary").alias("content"),
+        F.octet_length("text").alias("length"))
+    manifest = docs.where("doc_id % 11 <> 0").select(
+        "name", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("sha256"))
+    return stores.fingerprint_audit(files, manifest).select("name", "status")
+
+
+@query("x2_newest_revisions", """
+  select doc_id, sha256(case when doc_id % 3 = 0 then substring(text, 1, 40) else text end) as text_sha256 from documents""")
+def x2(spark, sf):
+    """A batch in which every third document arrives again, corrected and shorter."""
+    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    batch = docs.withColumn("revision", F.lit(1)).union(
+        docs.where("doc_id % 3 = 0").select("doc_id", F.substring("text", 1, 40), F.lit(2)))
+    return incremental.newest_revisions(batch).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("s6_clauses_with_analyses", """
   select c.doc_id, c.order_idx, c.number, a.clause_type, a.likelihood, a.severity
   from v_clauses c left join (select doc_id, order_idx, clause_type, likelihood, severity from v_analysed

@@ -152,10 +152,15 @@ def _fired(rules: dict[str, Column]) -> Column:
 
 
 def trigger_pairs(claims: DataFrame, clauses: DataFrame) -> DataFrame:
-    """(claim, rule, clause) where the question and a clause meet on a rule."""
+    """(claim, rule, clause) where the question and a clause meet on a rule.
+
+    `at_home` marks a question about a place abroad that also names home: the
+    clause then bars the claim only if the treatment itself was abroad.
+    """
     asked = claims.select(
-        "claim_id", "policy_id", F.explode(_fired(question_rules(F.col("scenario")))).alias("rule")
-    )
+        "claim_id", "policy_id", F.explode(_fired(question_rules(F.col("scenario")))).alias("rule"),
+        F.col("scenario").rlike(fixed.RE_ASKS_HOME).alias("_home"),
+    ).withColumn("at_home", (F.col("rule") == "abroad") & F.col("_home")).drop("_home")
     quoted = F.regexp_replace(F.regexp_extract("text", fixed.RE_CLAUSE_BREACH, 0), r"\s+", " ")
     ruled = clauses.select(
         "policy_id", "clause_id", "order_idx", "text", F.explode(_fired(clause_rules())).alias("rule")
@@ -166,6 +171,20 @@ def trigger_pairs(claims: DataFrame, clauses: DataFrame) -> DataFrame:
     return scale.salted_join(asked, ruled, ["policy_id", "rule"], spread="claim_id")
 
 
+def rule_lines(pairs: DataFrame) -> DataFrame:
+    """a line per clause about another policy or treatment abroad, as the question bears on it."""
+    who = F.concat(F.lit("clause "), F.col("clause_id"), F.lit(": "))
+    line = (
+        F.when(F.col("rule") == "another_policy", F.concat(who, F.lit("shares the bill with the other policy that is mentioned")))
+        .when(F.col("at_home"), F.concat(who, F.lit("about treatment abroad; home is named too, so settle first where the treatment was")))
+        .otherwise(F.concat(who, F.lit("bars treatment abroad, and a place abroad is named")))
+    )
+    return pairs.filter(F.col("rule").isin("another_policy", "abroad")).select(
+        "claim_id", F.lit(4).alias("block"), F.when(F.col("rule") == "another_policy", 1).otherwise(2).alias("rank"),
+        F.lit(0).alias("minor"), "order_idx", "clause_id", line.alias("line"),
+    )
+
+
 def dangling_annexures(clauses: DataFrame, key: str = "doc_id") -> DataFrame:
     """F16: annexures a clause names and no section title of the document has."""
     labels = lambda c: F.array_distinct(

@@ -169,10 +169,10 @@ def f14(spark, sf):
         "claim_id", "clause_id", joined("words"))
 
 
-@query("f15_trigger_pairs", "select claim_id, rule, clause_id, quoted from v_triggers")
+@query("f15_trigger_pairs", "select claim_id, rule, clause_id, at_home, quoted from v_triggers")
 def f15(spark, sf):
     return lookups.trigger_pairs(prepared(spark, sf), views.policies(spark, sf)).select(
-        "claim_id", "rule", "clause_id", "quoted")
+        "claim_id", "rule", "clause_id", "at_home", "quoted")
 
 
 @query("f16_dangling_annexures", f"""
@@ -233,7 +233,8 @@ def f19(spark, sf):
     lines = checks.waiting_lines(
         checks.waiting_checks(asked, pol), lookups.named_in_question(asked, pol)
     ).unionByName(checks.reduction_lines(checks.reduction_checks(asked, pol))).unionByName(
-        checks.window_lines(checks.window_checks(asked, pol)))
+        checks.window_lines(checks.window_checks(asked, pol))).unionByName(
+        lookups.rule_lines(lookups.trigger_pairs(asked, pol)))
     return checks.evidence(lines)
 
 

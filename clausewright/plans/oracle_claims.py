@@ -201,7 +201,7 @@ CTES |= {
         list_filter({stem_list('c.scenario')}, lambda s: s not in {q_list(_GENERIC_STEMS)}))""",
     "v_triggers": f"""
       with asked as (
-        select claim_id, policy_id, unnest([
+        select claim_id, policy_id, {matches('scenario', fixed.RE_ASKS_HOME)} as home, unnest([
           case when len(list_filter({split_sentences('scenario')}, lambda s: {matches('s', fixed.RE_ASKS_OTHER_POLICY)}
             and not {matches('s', fixed.RE_NOT_HELD)})) > 0 then 'another_policy' end,
           case when {matches('scenario', fixed.RE_ASKS_ABROAD)} then 'abroad' end,
@@ -215,7 +215,7 @@ CTES |= {
           case when clause_type = 'exclusion' and {matches('text', fixed.RE_CLAUSE_INTOXICATION)} then 'intoxication' end,
           case when clause_type = 'exclusion' and {matches('text', fixed.RE_CLAUSE_BREACH)} then 'breach_of_law' end]) as rule
         from v_policies)
-      select claim_id, policy_id, rule, clause_id, order_idx, case when rule = 'breach_of_law' then
+      select claim_id, policy_id, rule, clause_id, order_idx, rule = 'abroad' and home as at_home, case when rule = 'breach_of_law' then
         trim(regexp_replace({extract('text', fixed.RE_CLAUSE_BREACH)}, '\\s+', ' ', 'g')) end as quoted
       from asked join ruled using (policy_id, rule)""",
     "v_absent": f"""
@@ -384,7 +384,12 @@ CTES |= {
     "v_lines_of_claims": """
       select claim_id, block, rank, minor, order_idx, clause_id, line from v_wait_lines
       union all select claim_id, block, rank, minor, order_idx, clause_id, line from v_cut_lines
-      union all select claim_id, block, rank, minor, order_idx, clause_id, line from v_window_lines""",
+      union all select claim_id, block, rank, minor, order_idx, clause_id, line from v_window_lines
+      union all select claim_id, 4, case rule when 'another_policy' then 1 else 2 end, 0, order_idx, clause_id, concat('clause ', clause_id,
+        case when rule = 'another_policy' then ': shares the bill with the other policy that is mentioned'
+          when at_home then ': about treatment abroad; home is named too, so settle first where the treatment was'
+          else ': bars treatment abroad, and a place abroad is named' end)
+      from v_triggers where rule in ('another_policy', 'abroad')""",
     # The same fold as v_fit, for policies without a claim.
     "v_policy_rank": f"""
       select policy_id, order_idx, cost,

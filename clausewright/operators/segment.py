@@ -7,12 +7,8 @@ which bounds each window.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clausewright.functions import fixed
 from clausewright.functions import text as tx
@@ -274,52 +270,39 @@ def assemble(started: DataFrame) -> DataFrame:
     )
 
 
-def cut_finder(limit: int = fixed.CLAUSE_MAX_CHARS, sentence: str = fixed.RE_SENTENCE_LINE_END):
-    """A function from one oversize text to the ends of its pieces.
+def piece_ends(text: Column, limit: int = fixed.CLAUSE_MAX_CHARS, sentence: str = fixed.RE_SENTENCE_LINE_END) -> Column:
+    """Ends of the pieces of an oversize text: array<int>, at least one.
 
     A piece ends at a sentence end in the window's second half, else at the
-    last newline, else where the window ends. The function carries all it
-    needs, so executors do not have to import this package.
+    last newline, else where the window ends. Every step of the fold cuts one
+    piece; a piece ends at a newline or has half a window at least, which bounds
+    the number of steps.
     """
-
-    def ends_of(text: str) -> list[int]:
-        ends, start, size = [], 0, len(text)
-        while start < size:
-            end = min(start + limit, size)
-            if end < size:
-                found = re.match(sentence, text[start:end])
-                at = len(found.group(1)) if found else -1
-                if at < limit // 2:
-                    at = text.rfind("\n", start, end) - start
-                if at > 0:
-                    end = start + at
-            ends.append(end)
-            start = end + 1
-        return ends
-
-    return ends_of
-
-
-def _cuts(text):
-    """Piece ends of a text column, in Arrow batches."""
-    ends_of = cut_finder()
-
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else ends_of(t))
-
-    return F.pandas_udf(run, T.ArrayType(T.IntegerType()))(text)
+    size = F.length(text)
+    steps = F.regexp_count(text, F.lit("\n")) + F.ceil(size * 2 / limit).cast("int") + 1
+
+    def cut(state: Column, _: Column) -> Column:
+        start = state["at"]
+        window = F.substring(text, start + 1, F.lit(limit))
+        whole = start + F.length(window)
+        at = F.length(F.regexp_extract(window, sentence, 1))
+        newline = F.instr(F.reverse(window), "\n")
+        at = F.when(at >= limit // 2, at).otherwise(F.when(newline > 0, F.length(window) - newline).otherwise(0))
+        end = F.when((whole < size) & (at > 0), start + at).otherwise(whole)
+        # The end is named once and used twice.
+        grown = F.transform(F.array(end), lambda e: F.struct(
+            (e + 1).alias("at"), F.concat(state["ends"], F.array(e)).alias("ends")))[0]
+        return F.when(start < size, grown).otherwise(state)
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    return F.aggregate(F.sequence(F.lit(1), steps), begin, cut)["ends"]
 
 
 def split_oversize(rows: DataFrame) -> DataFrame:
-    """Clauses over the limit become pieces; one character is skipped at each cut.
-
-    Only oversize texts travel to Python; every other row passes a null.
-    """
+    """Clauses over the limit become pieces; one character is skipped at each cut."""
     over = F.col("is_clause") & (F.length("text") > fixed.CLAUSE_MAX_CHARS)
-    cut = rows.withColumn("_ends", _cuts(F.when(over, F.col("text"))))
-    cut = cut.withColumn(
-        "_ends", F.coalesce("_ends", F.array(F.length("text").cast("int")))
-    )
+    cut = rows.withColumn(
+        "_ends", F.when(over, piece_ends(F.col("text"))).otherwise(F.array(F.length("text").cast("int"))))
     starts = F.transform(
         F.col("_ends"), lambda e, i: F.when(i == 0, F.lit(0)).otherwise(F.get("_ends", i - 1) + 1)
     )

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-
 def latest_status(updates: DataFrame) -> DataFrame:
     """updates(doc_id, seq, ts, status, progress): the newest of each document.
 

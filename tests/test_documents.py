@@ -157,12 +157,14 @@ def brute_cuts(text, limit=3000):
     return ends
 
 
-@pytest.mark.parametrize("text", [
-    ("A sentence that ends.\n" * 400), ("words without an end\n" * 400), ("x" * 7000),
-    ("No. 5\nfine words here;\n" * 500), ("a\n" + "y" * 5000 + "\nend."),
-])
-def test_oversize_cuts_match_brute_force(text):
-    assert segment.cut_finder()(text) == brute_cuts(text)
+def test_oversize_cuts_match_brute_force(spark):
+    texts = [
+        "A sentence that ends.\n" * 400, "words without an end\n" * 400, "x" * 7000, "No. 5\nfine words here;\n" * 500,
+        "a\n" + "y" * 5000 + "\nend.", "é😀 end.\n" * 900, "x" * 3000, "\n" * 3001, "y" * 2999 + "\n" + "z" * 3000,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", segment.piece_ends(F.col("t")).alias("e"))
+    for r in df.collect():
+        assert r.e == brute_cuts(texts[r.i]), texts[r.i][:20]
 
 
 def test_oversize_pieces_keep_offsets(spark):
@@ -230,3 +232,17 @@ def test_scores_stay_in_range_and_omit_unanalysed(spark):
 def test_top_risks_limits():
     with pytest.raises(ValueError):
         score.top_risks(None, 51)
+
+
+def test_lines_to_top_risks_in_one_exchange(spark):
+    import contextlib
+    import io
+
+    from clausewright.plans import registry
+
+    registry.load()
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        registry.QUERIES["t8_top_risks"](spark, "/root/testdata/sf0.001").explain()
+    plan = out.getvalue()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and plan.count("FileScan") == 1

@@ -42,6 +42,9 @@ IBAN = r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?
 NAME = rf"{TITLE}\s{_NAME}(?: {_NAME})?"
 PATTERN = f"(?:{EMAIL})|(?:{IP})|(?:{SSN})|(?:{CARD})|(?:{IBAN})|(?:{PHONE})|(?:{NAME})"
 
+# Without one of these characters or a title there is no match: read first, as it is cheap.
+_MAYBE = rf"[0-9@]|(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?\s"
+
 _LATIN = "ba be bi bo da de di do fa fe ga go ja jo ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe po ra re ri ro sa se si so ta te ti to va vi".split()
 _CYRILLIC = "ба бе би бо ва ве ви во да де ди до за зе зи зо ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то".split()
 # Endings by script and gender; a surname has its own in any case.
@@ -124,9 +127,8 @@ def kind_of(hit: Column) -> Column:
     )
 
 
-def entities(hit: Column) -> Column:
-    """The entities of a detected string: array<struct<kind, canon>>; a name has one or two."""
-    kind = kind_of(hit)
+def entities(hit: Column, kind: Column) -> Column:
+    """The entities of a detected string of this kind: array<struct<kind, canon>>; a name has one or two."""
     digits = F.regexp_replace(hit, r"\D", "")
     title = F.regexp_extract(hit, rf"^({TITLE})\s", 1)
     first = F.regexp_extract(hit, rf"^{TITLE}\s({_NAME}) {_NAME}$", 1)
@@ -141,8 +143,8 @@ def entities(hit: Column) -> Column:
     def one(k: Column, c: Column) -> Column:
         return F.struct(k.alias("kind"), c.alias("canon"))
 
-    named = F.when(first != "", F.array(one(F.concat(F.lit("given_"), gender), F.lower(first)), one(F.lit("surname"), F.lower(last)))).otherwise(
-        F.array(one(F.lit("surname"), F.lower(last))))
+    given = F.when(first != "", one(F.concat(F.lit("given_"), gender), F.lower(first)))
+    named = F.array_compact(F.array(given, one(F.lit("surname"), F.lower(last))))
     return F.when(kind == "name", named).otherwise(F.array(one(kind, canon)))
 
 
@@ -170,16 +172,15 @@ def _spaced(hit: Column, canon: Column) -> Column:
             F.struct((s["at"] + 1).alias("at"), F.concat(s["out"], F.substring(canon, s["at"], F.lit(1))).alias("out"))))["out"]
 
 
-def rendered(hit: Column, found: Column) -> Column:
+def rendered(hit: Column, kind: Column, found: Column) -> Column:
     """The text that stands for `hit`, from the canonical surrogates of its entities."""
-    kind = kind_of(hit)
     first = F.regexp_extract(hit, rf"^{TITLE}\s({_NAME}) {_NAME}$", 1)
     last = F.regexp_extract(hit, rf"({_NAME})$", 1)
     title = F.regexp_extract(hit, rf"^({TITLE}\s)", 1)
     return (
         F.when(kind.isin("email", "ip"), found[0]).when(kind == "iban", _spaced(hit, found[0]))
         .when(kind != "name", _filled(hit, found[0]))
-        .when(first != "", F.concat(title, _cased(found[0], first), F.lit(" "), _cased(F.get(found, F.lit(1)), last)))
+        .when(F.size(found) > 1, F.concat(title, _cased(found[0], first), F.lit(" "), _cased(F.get(found, F.lit(1)), last)))
         .otherwise(F.concat(title, _cased(found[0], last)))
     )
 
@@ -216,27 +217,27 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     docs = docs.drop("n_entities")
     columns = docs.columns
     body = F.col(f"`{text}`")
-    some = F.coalesce(body.rlike(PATTERN), F.lit(False))
+    some = F.coalesce(body.rlike(_MAYBE) & body.rlike(PATTERN), F.lit(False))
     rows = common.stored(
         docs.where(some).withColumns({
             "_pii_hits": F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)),
             "_pii_gaps": F.split(body, PATTERN, -1), "_pii_row": F.monotonically_increasing_id(),
         }).drop(text), "pii-rows")
-    found = rows.select("_pii_row", F.posexplode("_pii_hits").alias("at", "hit")).select(
-        "_pii_row", "at", F.posexplode(entities(F.col("hit"))).alias("part", "entity")).select(
+    # Kinds and entities are columns of a stored row for each detected string, worked out once.
+    hits = rows.select("_pii_row", F.posexplode("_pii_hits").alias("at", "hit")).withColumn("kind", kind_of(F.col("hit")))
+    hits = common.stored(hits.withColumn("parts", entities(F.col("hit"), F.col("kind"))), "pii-hits")
+    parts = hits.select("_pii_row", "at", F.posexplode("parts").alias("part", "entity")).select(
         "_pii_row", "at", "part", "entity.kind", "entity.canon")
-    table = surrogate_table(found, key)
-    # The entities of one text come together, never those of one entity: a frequent one is split by the join.
-    per_row = found.join(table, ["kind", "canon"]).groupBy("_pii_row").agg(
-        F.array_sort(F.collect_list(F.struct("at", "part", "surrogate"))).alias("_pii_found"))
-    joined = rows.join(per_row, "_pii_row")
-    # Each string with its entities: the first part begins a new one.
-    grouped = F.map_from_entries(F.transform(
-        "_pii_found", lambda e: F.struct((e["at"] * 2 + e["part"]).alias("k"), e["surrogate"].alias("v"))))
-    new = joined.withColumn("_pii_map", grouped).withColumn("_pii_new", F.transform(
-        "_pii_hits", lambda h, i: rendered(h, F.array(F.col("_pii_map")[i * 2], F.col("_pii_map")[i * 2 + 1]))))
+    table = surrogate_table(parts, key)
+    # What comes together is of one text, never of one entity: a frequent one is split by the join.
+    drawn = parts.join(table, ["kind", "canon"]).groupBy("_pii_row", "at").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("part", "surrogate"))), lambda e: e["surrogate"]).alias("found"))
+    written = hits.select("_pii_row", "at", "hit", "kind").join(drawn, ["_pii_row", "at"]).select(
+        "_pii_row", "at", rendered(F.col("hit"), F.col("kind"), F.col("found")).alias("new"))
+    per_row = common.stored(written.groupBy("_pii_row").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda e: e["new"]).alias("_pii_new")), "pii-new")
     whole = F.array_join(F.transform(
         "_pii_gaps", lambda g, i: F.concat(g, F.coalesce(F.get("_pii_new", i), F.lit("")))), "")
-    done = new.withColumn(text, whole).select(
+    done = rows.join(per_row, "_pii_row").withColumn(text, whole).select(
         *[F.col(f"`{c}`") for c in columns], F.size("_pii_hits").cast("bigint").alias("n_entities"))
     return done.unionByName(docs.where(~some).withColumn("n_entities", F.lit(0).cast("bigint")))

@@ -22,7 +22,9 @@ def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "array_join(transform(filter(split(text, '\\n'), x -> trim(x) <> ''), "
         f"(x, i) -> {line}), '\\n')"
     )
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", "source", f"{text} as text")
+    # Exchanged as it is read, before it becomes lines: all windows over a document then need no other exchange.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").repartition("doc_id")
+    return docs.selectExpr("doc_id", "source", f"{text} as text")
 
 
 def styled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +68,8 @@ def policy_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "struct(" + ", ".join(f"{sql} as {name}" for name, sql in c.items()) + ")"
         for c in shapes.POLICY_CLAUSES
     )
-    part = table(spark, sf_dir, "part")
+    # By policy before the clauses are made, which is how the claims ask for them.
+    part = table(spark, sf_dir, "part").repartition("p_partkey")
     return (
         part.select(F.col("p_partkey").alias("policy_id"), F.expr(f"explode(array({rows}))").alias("c"))
         .select("policy_id", "c.*")
@@ -96,7 +99,8 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = shapes.claim_columns("datediff(l_shipdate, o_orderdate)")
     lineitem = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
-    return lineitem.join(orders, lineitem["l_orderkey"] == orders["o_orderkey"]).selectExpr(
+    # Both sides grow with the claims.
+    return lineitem.join(orders.hint("merge"), lineitem["l_orderkey"] == orders["o_orderkey"]).selectExpr(
         *[f"{sql} as {name}" for name, sql in columns.items()]
     )
 

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Text that a Python worker handles at a time; a longer document is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+# Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +44,7 @@ def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches by bytes rather than by 10,000 rows, unless the session says otherwise."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1)).rstrip("b")) >= 2**31 - 1:
-        spark.conf.set(key, str(16 << 20))
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def attach(df: DataFrame, result: Column, fields: list[str]) -> DataFrame:
@@ -73,3 +75,5 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
         size += len(data)
     if held:
         yield held
+    # A worker is used again for other stages: what Arrow no longer needs goes back.
+    pa.default_memory_pool().release_unused()

@@ -43,17 +43,13 @@ from clausewright.llm import common, words
 LENGTH = 200
 GRAM = 24
 STEP = 25
-BUCKET_BYTES = 2 << 20
-SHARD_BYTES = 256 << 10
-MAX_SEGMENTS = 4_000  # different segments of one anchor in one bucket
-_BLOCK = 1 << 20
+BUCKET_BYTES = 3 << 18
+SHARD_BYTES = 128 << 10
+MAX_SEGMENTS = 2_000  # different segments of one anchor in one bucket
+_BLOCK = 1 << 18
 _AS_IS = bytes(range(256))
 _OTHER_BASE = 0xC2B2AE3D27D4EB4F
 
-_ANCHORS = T.ArrayType(T.StructType([
-    T.StructField("gram", T.LongType()), T.StructField("seg", T.LongType()), T.StructField("place", T.LongType())]))
-
-
 def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, hash of the bytes and place of each segment of a text.
 
@@ -89,18 +85,28 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-@F.arrow_udf(_ANCHORS)
-def _anchors(texts: pa.Array) -> pa.Array:
-    found, sizes = [], [0]
-    for part in common.chunks(texts):
-        for data in part:
-            own = segments(data)
-            found.append(own)
-            sizes.append(sizes[-1] + len(own[0]))
-    grams, segs, places = (
-        (np.concatenate(p).view(np.int64) for p in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3)
-    rows = pa.StructArray.from_arrays([pa.array(grams), pa.array(segs), pa.array(places)], ["gram", "seg", "place"])
-    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)
+def _segment_rows(batches):
+    """(t1, t2, gram, seg, place) of every segment, as flat columns: no arrays to take apart."""
+    for batch in batches:
+        t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
+        k = 0
+        for part in common.chunks(batch.column("t")):
+            found = [segments(data) for data in part]
+            counts = [len(f[0]) for f in found]
+            grams, segs, places = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+            own = slice(k, k + len(part))
+            k += len(part)
+            yield pa.record_batch({
+                "t1": pa.array(np.repeat(t1[own], counts)), "t2": pa.array(np.repeat(t2[own], counts)),
+                "gram": pa.array(grams), "seg": pa.array(segs), "place": pa.array(places)})
+
+
+def _gram_rows(batches):
+    """The anchor hashes alone, for counting."""
+    for batch in batches:
+        for part in common.chunks(batch.column("t")):
+            grams = np.concatenate([segments(data)[0] for data in part])
+            yield pa.record_batch({"gram": pa.array(grams.view(np.int64))})
 
 
 @F.arrow_udf(T.ArrayType(T.BinaryType()))
@@ -142,23 +148,21 @@ def repeated_windows(keys: np.ndarray, segs: list[bytes], weights: np.ndarray, s
         shards.append(own[_stable(group[own])])
     joined = np.concatenate(shards)
     order = _stable(group[joined])
-    interleave = np.repeat(np.arange(len(shards), dtype=np.int32), [len(s) for s in shards])[order]
+    interleave = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s) for s in shards])[order]
     block = group[joined][order].astype(np.int64)
     symbol = np.empty(len(order), dtype=np.int32)
     for back in range(LENGTH - STEP, -1, -STEP):
-        for s, own in enumerate(shards):
-            # The transform of this shard at this depth: what stands before each of its suffixes.
-            before = symbols[window[own] + back]
-            symbol[interleave == s] = before
-            shards[s] = own[_stable(before)]
+        # The transform of each shard at this depth, what stands before its suffixes, read through the interleave.
+        before = [symbols[window[own] + back] for own in shards]
+        symbol[np.argsort(interleave, kind="stable")] = np.concatenate(before)
+        shards = [own[_stable(b)] for own, b in zip(shards, before, strict=True)]
         order = _stable(symbol)
         interleave, block, symbol = interleave[order], block[order], symbol[order]
         cut = np.ones(len(order), dtype=bool)
         cut[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
         block = np.cumsum(cut)
     merged = np.empty(len(order), dtype=np.int64)
-    for s, own in enumerate(shards):
-        merged[interleave == s] = own
+    merged[np.argsort(interleave, kind="stable")] = np.concatenate(shards)
     # Blocks agree by eight symbol hashes; a second hash of the whole must agree as well.
     check = words.ranges(window, window + LENGTH, values, _OTHER_BASE)[merged]
     if len(check) and np.any((check[1:] != check[:-1]) & (block[1:] == block[:-1])):
@@ -254,8 +258,9 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     """(t1, t2, places) of every different text with repeated windows: where their runs begin and end, in bytes."""
     common.bounded_batches(docs.sparkSession)
     bodies = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") >= LENGTH)
-    rows = bodies.select(*_text_key(F.col("t")), F.explode(_anchors("t")).alias("a")).select("t1", "t2", "a.*")
-    twice = rows.groupBy("gram").count().where("count >= 2").select("gram")
+    rows = bodies.select(*_text_key(F.col("t")), "t").mapInArrow(
+        _segment_rows, "t1 bigint, t2 int, gram bigint, seg bigint, place bigint")
+    twice = bodies.mapInArrow(_gram_rows, "gram bigint").groupBy("gram").count().where("count >= 2").select("gram")
     rows = common.stored(rows.hint("merge").join(twice, "gram", "left_semi"), "suffix-anchors")
     kinds = rows.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "place")).alias("r"))
     wanted = kinds.groupBy("r.t1", "r.t2").agg(F.collect_list(F.struct("gram", "seg", "n", "r.place")).alias("w"))

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _ALL = (1 << 64) - 1
 
 

@@ -29,8 +29,8 @@ from clausewright.llm import common
 
 LONG = 256
 WIDTHS = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, LONG]
-CELLS = 1 << 20
-CACHED = 400_000
+CELLS = 1 << 18
+CACHED = 150_000
 _NONE = np.int32(2**31 - 1)
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,14 +42,12 @@ class Vocabulary:
         self.find = regex.compile(pattern).findall
         self.token = {i: t for t, i in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        pairs = {
-            (ranks[t[:k]], ranks[t[k:]]): i
+        splits = (
+            (ranks[t[:k]] << 32 | ranks[t[k:]], i)
             for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
-        }
-        self.pair_ids = pairs
-        keys = np.array([a << 32 | b for a, b in pairs], dtype=np.uint64)
-        values = np.array(list(pairs.values()), dtype=np.int32)
-        self._build(keys, values)
+        )
+        pairs = np.fromiter(splits, dtype=[("key", np.uint64), ("id", np.int32)])
+        self._build(pairs["key"].copy(), pairs["id"].copy())
         self.pieces: dict[str, bytes] = {}  # ids of a piece as 32-bit numbers
 
     def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
@@ -129,16 +127,26 @@ class Vocabulary:
                     ranks[line[left], a] = self.ranks(ids[line[left], a], ids[line[left], a + 1])
         return out
 
+    def rank(self, left: int, right: int) -> int | None:
+        key = left << 32 | right
+        slot = (key * int(_MULTIPLY) & (1 << 64) - 1) >> (64 - self.bits)
+        while (held := int(self.keys[slot])) != key:
+            if held == (1 << 64) - 1:
+                return None
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+        return int(self.values[slot])
+
     def merge_long(self, piece: bytes) -> tuple[int, ...]:
         ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)].tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(self.pair_ids[p], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.pair_ids]
+        ranks = self.ranks(np.array(ids[:-1], dtype=np.int32), np.array(ids[1:], dtype=np.int32)).tolist()
+        queue = [(r, i) for i, r in enumerate(ranks) if r != _NONE]
         heapq.heapify(queue)
         while queue:
             rank, i = heapq.heappop(queue)
             j = after[i]
-            if ids[i] < 0 or j >= n or self.pair_ids.get((ids[i], ids[j])) != rank:
+            if ids[i] < 0 or j >= n or self.rank(ids[i], ids[j]) != rank:
                 continue
             ids[i], ids[j] = rank, -1
             after[i] = after[j]
@@ -146,7 +154,7 @@ class Vocabulary:
                 before[after[i]] = i
             for a in (before[i], i):
                 if a >= 0 and after[a] < n:
-                    new = self.pair_ids.get((ids[a], ids[after[a]]))
+                    new = self.rank(ids[a], ids[after[a]])
                     if new is not None:
                         heapq.heappush(queue, (new, a))
         return tuple(i for i in ids if i >= 0)

@@ -27,7 +27,7 @@ DISTANCE = 3
 SEED = 42
 # Fixed value: A-Z to a-z, other bytes as they are.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_BLOCK = 1 << 18
+_BLOCK = 1 << 15
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:

@@ -261,6 +261,8 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = bodies.select(*_text_key(F.col("t")), "t").mapInArrow(
         _segment_rows, "t1 bigint, t2 int, gram bigint, seg bigint, place bigint")
     twice = bodies.mapInArrow(_gram_rows, "gram bigint").groupBy("gram").count().where("count >= 2").select("gram")
+    # A table of its own, so that adaptive execution can split the rows of a hot hash.
+    twice = common.stored(twice, "suffix-grams")
     rows = common.stored(rows.hint("merge").join(twice, "gram", "left_semi"), "suffix-anchors")
     kinds = rows.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "place")).alias("r"))
     wanted = kinds.groupBy("r.t1", "r.t2").agg(F.collect_list(F.struct("gram", "seg", "n", "r.place")).alias("w"))
@@ -272,7 +274,8 @@ def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
     found = _merged(different.select(
         "gram", "seg", "n", F.col("b").alias("bytes"),
         (high - F.col("place").bitwiseAND(F.lit(255)).cast("int")).alias("low"), high.alias("high")))
-    runs = rows.join(found, ["gram", "seg"])
+    # Copies of a text have the same rows; one of each is enough to name the places.
+    runs = rows.distinct().join(found, ["gram", "seg"])
     first = F.shiftright("place", 16)
     return runs.groupBy("t1", "t2").agg(
         F.flatten(F.collect_list(F.transform("runs", lambda x: x + first))).alias("places"))
@@ -306,7 +309,7 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     names = ["t1", "t2", "places"]
-    found = repeated(docs, text).select(*[F.col(n).alias(f"_{n}") for n in names])
+    found = common.stored(repeated(docs, text), "suffix-places").select(*[F.col(n).alias(f"_{n}") for n in names])
     keyed = docs.withColumns({"_text": body, "_k1": F.xxhash64(body), "_k2": F.hash(body)})
     joined = keyed.join(
         found.hint("merge"), (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2")), "left")

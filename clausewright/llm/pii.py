@@ -36,7 +36,8 @@ SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\d-])"
 PHONE = (
     r"(?<![\p{L}\d+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
-    r"|(?<![\p{L}\d+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)"
+    # Seven digits or more: "+100" and "+150 (20)" are none.
+    r"|(?<![\p{L}\d+])(?=\+\d(?:\)?[ .-]?\(?\d){6})\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,7}(?!\d)"
 )
 IBAN = r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])"
 NAME = rf"{TITLE}\s{_NAME}(?: {_NAME})?"
@@ -54,6 +55,8 @@ _ENDINGS = {
     ("cyrillic", "m"): ["слав", "мир", "рий", "тон"], ("cyrillic", "f"): ["лина", "рия", "ния", "са"],
     ("cyrillic", "n"): ["ран", "ким", "рис", "лей"], ("cyrillic", "s"): ["енко", "ич", "юк", "ман"],
 }
+# Attempts with which a number has the length of the entity; each later one writes one digit more.
+SAME_LENGTH = 4
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -88,34 +91,45 @@ def _luhn(fifteen: Column) -> Column:
     return F.concat(fifteen, F.pmod(10 - total % 10, F.lit(10)).cast("string"))
 
 
-def _name(h: Column, canon: Column, sort: str) -> Column:
-    """Syllables and an ending; each attempt draws others from a new hash."""
+def _name(h: Column, canon: Column, attempt: Column, sort: str) -> Column:
+    """Three syllables, one more with each attempt, and an ending; each attempt draws from a new hash."""
     def of(script: str, syllables: list[str]) -> Column:
-        return F.concat(
-            *[_pick(syllables, _byte(h, F.lit(i)) + 256 * _byte(h, F.lit(i + 8))) for i in range(3)],
-            _pick(_ENDINGS[script, sort], _byte(h, F.lit(20))))
+        drawn = F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: _pick(
+            syllables, _byte(h, i) + 256 * _byte(h, i + 8)))
+        return F.concat(F.array_join(drawn, ""), _pick(_ENDINGS[script, sort], _byte(h, F.lit(20))))
 
     return F.when(canon.rlike(r"\p{IsCyrillic}"), of("cyrillic", _CYRILLIC)).otherwise(of("latin", _LATIN))
 
 
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
-    """The canonical form of the surrogate of an entity."""
+    """The canonical form of the surrogate of an entity.
+
+    No kind has a fixed number of surrogates: names and local parts grow with each
+    attempt, numbers from the attempt SAME_LENGTH on.
+    """
     h = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string")), 512)
-    octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(_byte(h, i), F.lit(254)) + 1).cast("string")), ".")
+    more = F.greatest(attempt - (SAME_LENGTH - 1), F.lit(0))
+    # Digits of a longer number, from the far end of the hash.
+    longer = F.when(more > 0, F.array_join(F.transform(
+        F.sequence(F.lit(0), F.greatest(more - 1, F.lit(0))), lambda i: F.pmod(_byte(h, 63 - i), F.lit(10)).cast("string")), "")).otherwise("")
+    letters = F.when(attempt > 0, F.array_join(F.transform(
+        F.sequence(F.lit(0), F.greatest(attempt - 1, F.lit(0))), lambda i: F.substring(F.lit(_LETTERS), F.pmod(_byte(h, 63 - i), F.lit(26)) + 1, F.lit(1))), "")).otherwise("")
+    octets = F.array_join(F.transform(F.sequence(F.lit(0), more + 3), lambda i: (F.pmod(_byte(h, i), F.lit(254)) + 1).cast("string")), ".")
     parts = F.split(canon, "@")
     domain = F.regexp_extract(parts[1], r"^(.*)(\.[^.]*)$", 1)
     return (
         F.when(kind == "email", F.concat(
-            _reshaped(h, parts[0]), F.lit("@"),
-            _reshaped(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), parts[1]), 512), domain),
+            _reshaped(h, parts[0]), letters, F.lit("@"),
+            # One domain has one surrogate, but for an address that has to be drawn again.
+            _reshaped(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), parts[1], F.when(attempt > 0, attempt.cast("string"))), 512), domain),
             F.regexp_extract(parts[1], r"(\.[^.]*)$", 1)))
         .when(kind == "ip", octets)
-        .when(kind == "card", _luhn(F.concat((F.pmod(_byte(h, F.lit(40)), F.lit(5)) + 2).cast("string"), _digits(h, 14))))
-        .when(kind == "phone", F.concat((F.pmod(_byte(h, F.lit(40)), F.lit(8)) + 2).cast("string"), _digits(h, F.length(canon) - 1)))
-        .when(kind == "ssn", F.concat(F.lit("9"), _digits(h, 8)))
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _reshaped(h, F.substring(canon, F.lit(3), F.length(canon)))))
-        .when(kind == "given_m", _name(h, canon, "m")).when(kind == "given_f", _name(h, canon, "f"))
-        .when(kind == "given_n", _name(h, canon, "n")).otherwise(_name(h, canon, "s"))
+        .when(kind == "card", F.concat(longer, _luhn(F.concat((F.pmod(_byte(h, F.lit(40)), F.lit(5)) + 2).cast("string"), _digits(h, 14)))))
+        .when(kind == "phone", F.concat(longer, (F.pmod(_byte(h, F.lit(40)), F.lit(8)) + 2).cast("string"), _digits(h, F.length(canon) - 1)))
+        .when(kind == "ssn", F.concat(F.lit("9"), longer, _digits(h, 8)))
+        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _reshaped(h, F.substring(canon, F.lit(3), F.length(canon))), longer))
+        .when(kind == "given_m", _name(h, canon, attempt, "m")).when(kind == "given_f", _name(h, canon, attempt, "f"))
+        .when(kind == "given_n", _name(h, canon, attempt, "n")).otherwise(_name(h, canon, attempt, "s"))
     )
 
 
@@ -148,13 +162,21 @@ def entities(hit: Column, kind: Column) -> Column:
     return F.when(kind == "name", named).otherwise(F.array(one(kind, canon)))
 
 
-def _filled(hit: Column, canon: Column) -> Column:
-    """The digits of `canon`, from the right, at the digits of `hit`; earlier ones (a country code) stay."""
+def _filled(hit: Column, canon: Column, kind: Column) -> Column:
+    """The digits of `canon`, from the right, at the digits of `hit`; earlier ones (a country code) stay.
+
+    What `canon` has more than the entity stands before its first digit.
+    """
     chars = F.filter(F.split(hit, ""), lambda c: c != "")
+    digits = F.length(F.regexp_replace(hit, r"\D", ""))
+    own = F.when(kind == "phone", F.least(digits, F.lit(10))).otherwise(digits)
+    surplus = F.greatest(F.length(canon) - own, F.lit(0))
     state = F.aggregate(
         F.reverse(chars), F.struct(F.length(canon).alias("left"), F.lit("").alias("out")),
-        lambda s, c: F.when(c.between("0", "9") & (s["left"] > 0), F.struct(
+        lambda s, c: F.when(c.between("0", "9") & (s["left"] > surplus + 1), F.struct(
             (s["left"] - 1).alias("left"), F.concat(F.substring(canon, s["left"], F.lit(1)), s["out"]).alias("out"))
+        ).when(c.between("0", "9") & (s["left"] > 0), F.struct(
+            F.lit(0).alias("left"), F.concat(F.substring(canon, F.lit(1), s["left"]), s["out"]).alias("out"))
         ).otherwise(F.struct(s["left"].alias("left"), F.concat(c, s["out"]).alias("out"))))
     return state["out"]
 
@@ -164,12 +186,13 @@ def _cased(name: Column, like: Column) -> Column:
 
 
 def _spaced(hit: Column, canon: Column) -> Column:
-    """`canon` with the spaces of `hit`."""
+    """`canon` with the spaces of `hit`; what it has more than the entity comes last."""
     chars = F.filter(F.split(hit, ""), lambda c: c != "")
-    return F.aggregate(
+    state = F.aggregate(
         chars, F.struct(F.lit(1).alias("at"), F.lit("").alias("out")),
         lambda s, c: F.when(c == " ", F.struct(s["at"].alias("at"), F.concat(s["out"], c).alias("out"))).otherwise(
-            F.struct((s["at"] + 1).alias("at"), F.concat(s["out"], F.substring(canon, s["at"], F.lit(1))).alias("out"))))["out"]
+            F.struct((s["at"] + 1).alias("at"), F.concat(s["out"], F.substring(canon, s["at"], F.lit(1))).alias("out"))))
+    return F.concat(state["out"], F.substring(canon, state["at"], F.length(canon)))
 
 
 def rendered(hit: Column, kind: Column, found: Column) -> Column:
@@ -179,7 +202,7 @@ def rendered(hit: Column, kind: Column, found: Column) -> Column:
     title = F.regexp_extract(hit, rf"^({TITLE}\s)", 1)
     return (
         F.when(kind.isin("email", "ip"), found[0]).when(kind == "iban", _spaced(hit, found[0]))
-        .when(kind != "name", _filled(hit, found[0]))
+        .when(kind != "name", _filled(hit, found[0], kind))
         .when(F.size(found) > 1, F.concat(title, _cased(found[0], first), F.lit(" "), _cased(F.get(found, F.lit(1)), last)))
         .otherwise(F.concat(title, _cased(found[0], last)))
     )

@@ -280,3 +280,29 @@ def common_plan(df):
 def test_scratch_folder_is_shared(spark):
     path = common.scratch(spark, "probe")
     assert path != common.scratch(spark, "probe")
+
+
+def test_more_entities_than_forms_of_one_length(spark, monkeypatch):
+    # Each kind has fewer surrogates of the first length than entities.
+    monkeypatch.setattr(pii, "_LATIN", ["ba", "be"])
+    names = spark.range(200).select(F.lit("surname").alias("kind"), F.concat(F.lit("name"), "id").alias("canon"))
+    mails = spark.createDataFrame([("email", f"{c}@{d}.com") for c in "abcdefghijklmnopqrstuvwxyz" for d in "qz"] + [
+        ("email", "_@q.com"), ("email", "_@z.com")], "kind string, canon string")
+    phones = spark.range(950).select(F.lit("phone").alias("kind"), F.format_string("%03d", "id").alias("canon"))
+    known = names.union(mails).union(phones)
+    rows = pii.surrogate_table(known).collect()
+    assert len(rows) == known.count() == len({(r["kind"], r["surrogate"]) for r in rows})
+    assert not {(r["kind"], r["surrogate"]) for r in rows} & {tuple(r) for r in known.collect()}
+    longer = spark.createDataFrame([("+1 741-555-3069", "phone", "123415553069"), ("374-555-3069", "phone", "98765432101")],
+                                   "hit string, kind string, canon string")
+    found = [r[0] for r in longer.select(pii._filled(F.col("hit"), F.col("canon"), F.col("kind"))).collect()]
+    assert [re.sub(r"\D", "", f) for f in found] == ["1123415553069", "98765432101"]
+
+
+def test_a_phone_has_seven_digits(spark):
+    texts = ["grew by +150% and +123, rated +100 (50)", "call +49 30 1234567 now", "+1 2 3 4 5 6 7 8"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = {r["doc_id"]: r for r in pii.replace(docs).collect()}
+    assert out[0]["text"] == texts[0] and out[0]["n_entities"] == 0
+    assert out[1]["n_entities"] == 1 and "1234567" not in out[1]["text"]
+    assert out[2]["n_entities"] == 1

@@ -5,7 +5,11 @@ sums over all documents of a language that pass the base rule are the reference
 of that language; a document is rejected where the Jensen-Shannon distance of
 one of its histograms to the reference is too large. A histogram of few
 observations is far from any reference by chance, so a minimum length guards
-each comparison and the limit falls with the number of observations.
+each comparison and the limit falls with the number of observations. A language
+of few documents or characters is no reference by itself, as a document would
+be compared with little but itself: characters are compared with the sums over
+all languages, words with those of the language without the document, and the
+limit rises with the noise of that smaller sum.
 """
 
 from __future__ import annotations
@@ -48,7 +52,11 @@ class Limits:
     words_noise: float = 2.4
     min_chars: int = 200
     min_words: int = 50
+    # References a task holds; those of further languages come with the rows by a join.
     max_languages: int = 200
+    # A language is a whole reference from so many documents and characters on.
+    least_documents: int = 20
+    least_chars: int = 20_000
 
 
 CLASSES = 14
@@ -159,15 +167,25 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (left + right) / 2)))
 
 
+Sums = tuple[np.ndarray, np.ndarray, float]
+
+
+def _sums(v) -> Sums:
+    """Characters, words and the number of documents."""
+    v = np.array(v, dtype=np.float64)
+    return v[:CLASSES], v[CLASSES : CLASSES + WORDS], float(v[-1])
+
+
 @dataclass
 class Reference:
-    """Histograms of each language, and of all documents for a language without its own."""
+    """Sums of each language, and of all documents for rows without a language.
 
-    by_language: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    overall: tuple[np.ndarray, np.ndarray] | None = None
+    `further` has (l, sums) of the languages that `by_language` leaves out, if there are any.
+    """
 
-    def of(self, language: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        return self.by_language.get(language, self.overall)
+    by_language: dict[str, Sums] = field(default_factory=dict)
+    overall: Sums | None = None
+    further: DataFrame | None = None
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
@@ -184,7 +202,7 @@ def _histograms(texts: pa.Array) -> pa.Array:
 def reference(docs: DataFrame, text: str = "text", lang: str = "lang", limits: Limits = Limits()) -> Reference:
     """Summed over all documents; at most `max_languages` rows of fixed width reach the driver.
 
-    Languages beyond the `max_languages` with most documents use the overall reference.
+    The references of all other languages stay a table, for a join.
     """
     common.bounded_batches(docs.sparkSession)
     n = CLASSES + WORDS + 1
@@ -195,33 +213,40 @@ def reference(docs: DataFrame, text: str = "text", lang: str = "lang", limits: L
     if total[n - 1] is None:
         return Reference()
 
-    def halves(v) -> tuple[np.ndarray, np.ndarray]:
-        v = np.array(v, dtype=np.float64)
-        return v[:CLASSES], v[CLASSES : CLASSES + WORDS]
-
-    top = sums.where("l is not null").orderBy(F.desc(f"h{n - 1}"), "l").limit(limits.max_languages).collect()
-    return Reference({r["l"]: halves(r[1:]) for r in top}, halves(total))
+    own = sums.where("l is not null")
+    top = own.orderBy(F.desc(f"h{n - 1}"), "l").limit(limits.max_languages + 1).collect()
+    held = {r["l"]: _sums(r[1:]) for r in top[: limits.max_languages]}
+    further = None
+    if len(top) > limits.max_languages:
+        further = own.where(~F.col("l").isin(*held)).select("l", F.array(*[f"h{i}" for i in range(n)]).alias("sums"))
+    return Reference(held, _sums(total), further)
 
 
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
 _KINDS = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
 
 
-def judge(data: bytes, ref: tuple[np.ndarray, np.ndarray] | None, limits: Limits = Limits()) -> tuple:
+def judge(data: bytes, own: Sums | None, overall: Sums | None, limits: Limits = Limits()) -> tuple:
+    """The fields of a text, `own` being the sums of its language (None: it has none)."""
     base, chars, words = _features(data)
     failed = base_failed(base[0], base[4])
+    few = own is not None and (own[2] < limits.least_documents or own[0].sum() < limits.least_chars)
+    whole = overall if few or own is None else own
+    to_chars, to_words = (None, None) if whole is None else whole[:2]
+    if few:
+        to_words = own[1] if failed else own[1] - words
     kept, found = not failed, []
     sides = (
-        (chars, 0, limits.chars, limits.chars_noise, limits.min_chars),
-        (words, 1, limits.words, limits.words_noise, limits.min_words),
+        (chars, to_chars, limits.chars, limits.chars_noise, limits.min_chars),
+        (words, to_words, limits.words, limits.words_noise, limits.min_words),
     )
-    for own, side, most, noise, least in sides:
-        other = None if ref is None else ref[side]
-        n = own.sum()
+    for mine, other, most, noise, least in sides:
+        n = mine.sum()
         d = None
-        if other is not None and n >= least and other.sum() > 0:
-            d = distance(own, other)
-            kept = kept and d <= most + noise / np.sqrt(n)
+        if other is not None and n >= least and other.sum() > 0 and not (few and other is to_words and other.sum() < least):
+            d = distance(mine, other)
+            rest = 1 / other.sum() if few and other is to_words else 0
+            kept = kept and d <= most + noise * np.sqrt(1 / n + rest)
         found.append(d)
     return (*base, failed, *found, kept)
 
@@ -241,17 +266,29 @@ def score(
         T.StructField(FIELDS[8], T.BooleanType()),
     ])
 
+    held, overall = ref.by_language, ref.overall
+
     @F.arrow_udf(kind)
-    def verdicts(texts: pa.Array, langs: pa.Array) -> pa.Array:
+    def verdicts(texts: pa.Array, langs: pa.Array, sums: pa.Array) -> pa.Array:
         rows, names = [], langs.to_pylist()
         for part in common.chunks(texts):
             for data in part:
-                rows.append(judge(data, ref.of(names[len(rows)]), limits))
+                joined = sums[len(rows)].as_py()
+                own = held.get(names[len(rows)]) if joined is None else _sums(joined)
+                rows.append(judge(data, own, overall, limits))
         columns = list(zip(*rows, strict=True)) or [[]] * len(FIELDS)
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], FIELDS)
 
-    result: Column = verdicts(F.col(text), F.col(lang).cast("string"))
-    return common.attach(docs, result, FIELDS)
+    def judged(rows: DataFrame, sums: Column) -> DataFrame:
+        result: Column = verdicts(F.col(text), F.col(lang).cast("string"), sums.cast("array<double>"))
+        return common.attach(rows, result, FIELDS)
+
+    if ref.further is None:
+        return judged(docs, F.lit(None))
+    here = F.col(lang).isNull() | F.col(lang).cast("string").isin(*held)
+    table = ref.further.select(F.col("l").alias("_lang"), F.col("sums").alias("_sums"))
+    rest = docs.where(~here).join(table, F.col(lang).cast("string") == F.col("_lang"), "left").drop("_lang")
+    return judged(docs.where(here), F.lit(None)).unionByName(judged(rest, F.col("_sums")).drop("_sums"))
 
 
 def filter_quality(

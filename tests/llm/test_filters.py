@@ -306,3 +306,25 @@ def test_a_phone_has_seven_digits(spark):
     assert out[0]["text"] == texts[0] and out[0]["n_entities"] == 0
     assert out[1]["n_entities"] == 1 and "1234567" not in out[1]["text"]
     assert out[2]["n_entities"] == 1
+
+
+def test_a_small_language_has_no_reference_of_its_own(spark):
+    docs = documents(spark).select("doc_id", "text", "lang")
+    good = docs.where(F.length("text") > 1500).limit(1)
+    junk = good.select(
+        F.lit(-1).cast("bigint").alias("doc_id"),
+        F.regexp_replace(F.upper("text"), r"(\w+)", "$1!!").alias("text"), F.lit("zz").alias("lang"))
+    # Clean text of a rare language outside the word lists: no word is common, the characters are usual ones.
+    rare = good.select(F.lit(-2).cast("bigint").alias("doc_id"), F.regexp_replace("text", r"(?i)\b(\pL)(\pL*)", "$1$2e").alias("text"), F.lit("xx").alias("lang"))
+    out = {r["doc_id"]: r for r in quality.filter_quality(docs.union(junk).union(rare)).collect()}
+    assert not out[-1]["base_failed"] and out[-1]["char_distance"] > 0.2 and not out[-1]["kept"]
+    assert out[-2]["kept"] and out[-2]["word_distance"] is None
+
+
+def test_references_beyond_those_held(spark):
+    docs = documents(spark).select("doc_id", "text", "lang")
+    few = quality.Limits(least_documents=5, least_chars=1000)
+    want = {r["doc_id"]: tuple(r) for r in quality.filter_quality(docs, limits=few).collect()}
+    for held in (1, 2):
+        cut = quality.Limits(least_documents=5, least_chars=1000, max_languages=held)
+        assert {r["doc_id"]: tuple(r) for r in quality.filter_quality(docs, limits=cut).collect()} == want

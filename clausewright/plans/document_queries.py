@@ -11,7 +11,7 @@ from clausewright.plans import oracle as o
 from clausewright.plans import views
 from clausewright.plans.registry import query
 from clausewright.sources import lines as ln
-from clausewright.sources import stores
+from clausewright.sources import shared, stores
 from clausewright.streaming import incremental
 
 CLAUSE = "doc_id, order_idx, section_path, number, heading, text, page_start, page_end, char_start, char_end, is_heading"
@@ -171,41 +171,77 @@ def s2_visible(spark, sf):
     return visible.join(held, "page_id", "left").select("page_id", "visible", F.coalesce("in_lines", F.lit(0)).alias("in_lines"))
 
 
+def _clause_store(spark, sf):
+    """Two batches on disk: in the second every fifth document has its first clause only, and every seventh none."""
+    path = shared.scratch(spark, "clause-store")
+    rows = stores.written_once(views.clauses(spark, sf), "clauses")
+    docs = views.table(spark, sf, "documents").select("doc_id")
+    stores.write_clauses(rows, path, "first", docs.withColumn("revision", F.lit(1)))
+    stores.write_clauses(
+        rows.where("doc_id % 5 = 0 and doc_id % 7 <> 0 and order_idx = 0"), path, "second",
+        docs.where("doc_id % 5 = 0 or doc_id % 7 = 0").withColumn("revision", F.lit(2)))
+    return path
+
+
 @query("s4_store_rows", """
-  select doc_id, order_idx, concat(doc_id, ':', order_idx) as clause_key from v_clauses where doc_id % 5 <> 0 or order_idx = 0""")
+  select doc_id, order_idx, concat(doc_id, ':', order_idx) as clause_key from v_clauses
+  where doc_id % 7 <> 0 and (doc_id % 5 <> 0 or order_idx = 0)""")
 def s4(spark, sf):
-    """Two batches of the store as a reader sees them: in the second every fifth document has its first clause only."""
-    rows = stores.clause_rows(views.clauses(spark, sf))
-    second = rows.where("doc_id % 5 = 0 and order_idx = 0").withColumn("version", F.lit(2))
-    return stores.latest(rows.withColumn("version", F.lit(1)).unionByName(second)).select("doc_id", "order_idx", "clause_key")
+    """The store written in two batches, and a late third one of old revisions, read back."""
+    path = _clause_store(spark, sf)
+    late = stores.read_store(spark, path).where("doc_id % 3 = 0").select("doc_id", F.lit(99).alias("order_idx"), F.lit("late").alias("text"))
+    stores.write_clauses(late, path, "third", late.select("doc_id", F.lit(0).alias("revision")).distinct())
+    return stores.read_store(spark, path).select("doc_id", "order_idx", "clause_key")
+
+
+@query("s4_store_heads", """
+  select doc_id, case when doc_id % 5 = 0 or doc_id % 7 = 0 then 2 else 1 end as revision,
+    case when doc_id % 7 = 0 then 0 when doc_id % 5 = 0 then least(n, 1) else n end as n_rows
+  from (select d.doc_id, count(c.order_idx) as n from documents d left join v_clauses c using (doc_id) group by d.doc_id)""")
+def s4_heads(spark, sf):
+    """What compaction keeps: a head for every document, deleted ones with no rows."""
+    path, target = _clause_store(spark, sf), shared.scratch(spark, "clause-store")
+    stores.compact(spark, path, target)
+    return stores.read_heads(spark, target).select("doc_id", "revision", "n_rows")
 
 
 @query("s5_analysis_rows", """
   select doc_id, order_idx, concat(doc_id, ':', order_idx) as clause_key, clause_type, impact, 'model-1' as model, 'v2' as prompt_version
-  from v_scored where impact > 10""")
+  from v_scored where impact > 10 and doc_id % 7 <> 0 and doc_id % 5 <> 0""")
 def s5(spark, sf):
-    """Rows with provenance; a clause without an analysis or a score of more than ten is left out."""
+    """Rows with provenance, written and read; what was analysed before a document changed is not seen."""
+    path, target = _clause_store(spark, sf), shared.scratch(spark, "analysis-store")
     analysed = views.analysed_clauses(spark, sf).filter("clause_type is not null")
     scores = views.scored_clauses(spark, sf).filter("impact > 10").select("doc_id", "order_idx", "impact")
     rows = stores.analysis_rows(
         views.clauses(spark, sf).select("doc_id", "order_idx"), analysed.select("doc_id", "order_idx", "clause_type"),
         scores, "model-1", "v2")
-    return rows.select("doc_id", "order_idx", "clause_key", "clause_type", "impact", "model", "prompt_version")
+    first = spark.read.parquet(f"{path}/heads").where("batch = 'b-first'")
+    stores.write_analyses(rows, target, "first", first)
+    return stores.read_analyses(spark, target, path).select(
+        "doc_id", "order_idx", "clause_key", "clause_type", "impact", "model", "prompt_version")
 
 
 @query("s8_fingerprints", """
-  select concat('d', doc_id) as name, case when doc_id % 11 = 0 then 'extra' when doc_id % 13 = 0 then 'missing'
-    when doc_id % 7 = 0 then 'changed' else 'ok' end as status
-  from documents where not (doc_id % 11 = 0 and doc_id % 13 = 0)""")
+  with f as (select doc_id // 100 as k from documents group by all)
+  select concat('f', k) as name, case when k % 11 = 3 then 'extra' when k % 13 = 4 then 'missing' when k % 7 = 0 then 'changed' else 'ok' end as status
+  from f where not (k % 11 = 3 and k % 13 = 4)""")
 def s8(spark, sf):
-    """Texts as files against a manifest that lacks some, has others too many and some with another content."""
-    docs = views.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("name"), "doc_id", "text")
-    files = docs.where("doc_id % 13 <> 0").select(
-        F.concat(F.lit("store/in/"), F.col("name")).alias("path"), F.col("text").cast("binary").alias("content"),
-        F.octet_length("text").alias("length"))
-    manifest = docs.where("doc_id % 11 <> 0").select(
-        "name", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("sha256"))
-    return stores.fingerprint_audit(files, manifest).select("name", "status")
+    """Files of a hundred texts each, written and read as binary, against a manifest.
+
+    It lacks some files, names some that are not there and gives some another content.
+    """
+    path = shared.scratch(spark, "files")
+    docs = views.table(spark, sf, "documents").select(
+        F.floor(F.col("doc_id") / 100).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.withColumn("name", F.concat(F.lit("f"), "k"))
+    (rows.where("k % 13 <> 4").repartition("name").sortWithinPartitions("name", "doc_id").select("name", "text")
+     .write.partitionBy("name").text(path))
+    said = rows.where("k % 11 <> 3").groupBy("name", "k").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
+    content = F.array_join(F.transform("t", lambda x: F.concat(x["text"], F.lit("\n"))), "")
+    manifest = said.select("name", F.sha2(F.when(F.col("k") % 7 == 0, F.concat(content, F.lit("."))).otherwise(content), 256).alias("sha256"))
+    files = stores.read_binary(spark, path, "*.txt")
+    return stores.fingerprint_audit(files, manifest, F.regexp_extract("path", "name=([^/]+)/", 1)).select("name", "status")
 
 
 @query("x2_newest_revisions", """
@@ -218,6 +254,33 @@ def x2(spark, sf):
     return incremental.newest_revisions(batch).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query("x2_streams_to_store", f"""
+  select {CLAUSE.replace("is_heading", "concat(doc_id, ':', order_idx) as clause_key")} from v_clauses where doc_id % 7 <> 0""")
+def x2_streams(spark, sf):
+    """Two streams of arrivals into one store, read back.
+
+    The second brings the right text of every odd document, old revisions of every
+    fourth, which come too late, and a blank revision of every seventh.
+    """
+    base = shared.scratch(spark, "arrivals")
+    docs = stores.written_once(views.policy_documents(spark, sf).select("doc_id", "text"), "documents")
+    part = F.substring("text", 1, 40)
+
+    def revision(rows, text, number):
+        return rows.select("doc_id", text.alias("text"), F.lit(number).cast("bigint").alias("revision"))
+
+    whole = F.col("text")
+    first = revision(docs.where("doc_id % 2 = 0"), whole, 5).union(revision(docs.where("doc_id % 2 <> 0"), part, 1))
+    second = (
+        revision(docs.where("doc_id % 2 <> 0"), whole, 2).union(revision(docs.where("doc_id % 4 = 0"), part, 3))
+        .union(revision(docs.where("doc_id % 7 = 0"), F.lit(" "), 9)))
+    for name, rows in (("a", first), ("b", second)):
+        rows.write.parquet(f"{base}/{name}")
+        incremental.stream_clauses(
+            spark, f"{base}/{name}", f"{base}/store", f"{base}/checkpoint-{name}", views.styled).awaitTermination()
+    return stores.read_store(spark, f"{base}/store").selectExpr(*CLAUSE.replace("is_heading", "clause_key").split(", "))
+
+
 @query("s6_clauses_with_analyses", """
   select c.doc_id, c.order_idx, c.number, a.clause_type, a.likelihood, a.severity
   from v_clauses c left join (select doc_id, order_idx, clause_type, likelihood, severity from v_analysed

@@ -27,11 +27,14 @@ def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.selectExpr("doc_id", "source", f"{text} as text")
 
 
-def styled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ln.line_table(policy_documents(spark, sf_dir))
+def styled(lines: DataFrame) -> DataFrame:
     return lines.selectExpr("*", *[f"{sql} as {name}" for name, sql in shapes.LINE_STYLE.items()])
 
 
+def styled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styled(ln.line_table(policy_documents(spark, sf_dir)))
+
+
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segment(styled_lines(spark, sf_dir))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,16 +38,16 @@ def newest_revisions(documents: DataFrame) -> DataFrame:
 
 
 def clause_batch(
-    documents: DataFrame, store: str, style: Callable[[DataFrame], DataFrame] = plain_style,
-    batch: str | None = None, version: int | None = None,
+    documents: DataFrame, store: str, style: Callable[[DataFrame], DataFrame] = plain_style, batch: str | None = None
 ) -> None:
     """One batch of documents through the batch jobs into the clause store.
 
-    If a document arrives twice in a batch the newest revision stands; arriving
-    again in a later batch, it replaces its clauses.
+    If a document arrives twice in a batch the newest revision stands. In the
+    store the greatest (revision, arrived) stands, in whatever batch it came; a
+    blank revision deletes the document's clauses.
     """
     once = newest_revisions(documents)
-    stores.write_clauses(segment.segment(style(ln.line_table(once))), store, batch, version)
+    stores.write_clauses(segment.segment(style(ln.line_table(once))), store, batch, documents)
 
 
 def stream_clauses(
@@ -56,13 +57,15 @@ def stream_clauses(
 ):
     """Watch a folder of parquet documents; every batch is idempotent per document.
 
-    A batch is stored under its number: done again, it replaces only itself.
+    A batch is stored under its number and the stream's checkpoint: done again,
+    it replaces only itself, and streams may share a store.
     """
     arriving = (
         spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals)
         .select("*", F.col("_metadata.file_modification_time").alias("arrived"))
     )
+    stream = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
     writer = arriving.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda rows, number: clause_batch(rows, store, style, f"stream-{number}")
+        lambda rows, number: clause_batch(rows, store, style, f"{stream}-{number}")
     )
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -39,6 +39,47 @@ def test_a_small_batch_touches_no_other_file(spark, folder):
     assert sorted(map(tuple, stores.read_store(spark, path + "_compact").collect())) == sorted(map(tuple, rows))
 
 
+def test_heads_delete_and_order_revisions(spark, folder):
+    path, target = os.path.join(folder, "clauses"), os.path.join(folder, "compact")
+    rows, docs = "doc_id long, order_idx int, text string", "doc_id long, revision long, arrived timestamp"
+    day = [datetime(2024, 1, d) for d in range(1, 9)]
+
+    def write(clauses, documents, batch=None):
+        stores.write_clauses(spark.createDataFrame(clauses, rows), path, batch, spark.createDataFrame(documents, docs))
+
+    write([(1, 0, "r1"), (1, 1, "r1"), (2, 0, "r5"), (3, 0, "kept"), (4, 0, "a")], [(1, 1, day[1]), (2, 5, day[1]), (3, None, day[1]), (4, 7, day[1])], "7")
+    write([(2, 0, "r3")], [(1, 2, day[2]), (2, 3, day[2])])  # a blank revision of 1, a late old one of 2
+    write([(4, 0, "b")], [(4, 7, day[3])])  # equal revisions: the later arrival
+    shown = lambda at: {(r.doc_id, r.text) for r in stores.read_store(spark, at).collect()}
+    assert shown(path) == {(2, "r5"), (3, "kept"), (4, "b")}
+    # Rows whose heads were never written have not happened.
+    spark.createDataFrame([(3, 0, "lost", "3:0")], rows + ", clause_key string").withColumn("batch", F.lit("b-dead")).write.mode("append").partitionBy("batch").parquet(f"{path}/rows")
+    assert shown(path) == {(2, "r5"), (3, "kept"), (4, "b")}
+    stores.compact(spark, path, target)
+    stores.write_clauses(spark.createDataFrame([(1, 0, "older")], rows), target, None, spark.createDataFrame([(1, 1, day[7])], docs))
+    assert shown(target) == {(2, "r5"), (3, "kept"), (4, "b")}
+    heads = {r.doc_id: (r.revision, r.n_rows) for r in stores.read_heads(spark, target).collect()}
+    assert heads == {1: (2, 0), 2: (5, 1), 3: (None, 1), 4: (7, 1)}
+
+
+def test_two_streams_share_a_store(spark, folder):
+    store = os.path.join(folder, "store")
+    text = "SECTION 1 BENEFITS\n1.1 Stay\nWe pay.\n1.2 Day care\nWe pay less."
+    for name, rows in (("a", [(1, text, 1), (2, text, 1)]), ("b", [(2, " ", 2), (3, text, 1)])):
+        arrivals = os.path.join(folder, name)
+        spark.createDataFrame(rows, "doc_id long, text string, revision long").write.parquet(arrivals)
+        for _ in range(2):  # the second time nothing is new
+            incremental.stream_clauses(spark, arrivals, store, os.path.join(folder, f"cp-{name}")).awaitTermination(120)
+    assert sorted({r.doc_id for r in stores.read_store(spark, store).collect()}) == [1, 3]
+    rows = stores.analysis_rows(
+        stores.read_store(spark, store), spark.createDataFrame([(1, 0, "x"), (3, 0, "x")], "doc_id long, order_idx int, kind string"),
+        spark.createDataFrame([(1, 0, 1.0), (3, 0, 1.0)], "doc_id long, order_idx int, impact double"), "m", "v")
+    analyses = os.path.join(folder, "analyses")
+    stores.write_analyses(rows, analyses, "one", stores.read_heads(spark, store))
+    incremental.clause_batch(spark.createDataFrame([(3, text, 2)], "doc_id long, text string, revision long"), store)
+    assert [r.doc_id for r in stores.read_analyses(spark, analyses, store).collect()] == [1]
+
+
 def test_a_shorter_correction_stands(spark):
     rows = [(1, "the first and longer text", 1), (1, "short", 2), (2, "only", None)]
     got = incremental.newest_revisions(spark.createDataFrame(rows, "doc_id long, text string, revision long"))

@@ -8,6 +8,7 @@ policy may be a third of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,16 +34,21 @@ def rare_stems(clauses: DataFrame) -> DataFrame:
     )
 
 
-def claim_stems(claims: DataFrame, text: Column) -> DataFrame:
-    """(claim_id, policy_id, stem, word): the first word of each stem of a text."""
+def first_words(words: str) -> Column:
+    """array<(stem, word)>: the first word of each stem among the words."""
     stem = lambda w: F.substring(w, 1, fixed.STEM_CHARS)
-    first = F.transform(
-        F.array_distinct(F.transform("_words", stem)),
+    return F.transform(
+        F.array_distinct(F.transform(words, stem)),
         lambda s: F.struct(
             s.alias("stem"),
-            F.element_at(F.filter("_words", lambda w: F.startswith(w, s)), 1).alias("word"),
+            F.element_at(F.filter(words, lambda w: F.startswith(w, s)), 1).alias("word"),
         ),
     )
+
+
+def claim_stems(claims: DataFrame, text: Column) -> DataFrame:
+    """(claim_id, policy_id, stem, word): the first word of each stem of a text."""
+    first = first_words("_words")
     return (
         claims.select("claim_id", "policy_id", tx.stem_words(text).alias("_words"))
         .select("claim_id", "policy_id", F.explode(first).alias("s"))
@@ -137,6 +143,11 @@ def question_rules(scenario: Column) -> dict[str, Column]:
     }
 
 
+def breach_quoted() -> Column:
+    """What a clause about a breach of law says, on one line."""
+    return F.trim(F.regexp_replace(F.regexp_extract("text", fixed.RE_CLAUSE_BREACH, 0), r"\s+", " "))
+
+
 def clause_rules() -> dict[str, Column]:
     text, exclusion = F.col("text"), F.col("clause_type") == "exclusion"
     return {
@@ -147,7 +158,7 @@ def clause_rules() -> dict[str, Column]:
     }
 
 
-def _fired(rules: dict[str, Column]) -> Column:
+def fired(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in rules.items()]))
 
 
@@ -158,38 +169,46 @@ def trigger_pairs(claims: DataFrame, clauses: DataFrame) -> DataFrame:
     clause then bars the claim only if the treatment itself was abroad.
     """
     asked = claims.select(
-        "claim_id", "policy_id", F.explode(_fired(question_rules(F.col("scenario")))).alias("rule"),
+        "claim_id", "policy_id", F.explode(fired(question_rules(F.col("scenario")))).alias("rule"),
         F.col("scenario").rlike(fixed.RE_ASKS_HOME).alias("_home"),
     ).withColumn("at_home", (F.col("rule") == "abroad") & F.col("_home")).drop("_home")
-    quoted = F.regexp_replace(F.regexp_extract("text", fixed.RE_CLAUSE_BREACH, 0), r"\s+", " ")
     ruled = clauses.select(
-        "policy_id", "clause_id", "order_idx", "text", F.explode(_fired(clause_rules())).alias("rule")
+        "policy_id", "clause_id", "order_idx", "text", F.explode(fired(clause_rules())).alias("rule")
     ).select(
         "policy_id", "clause_id", "order_idx", "rule",
-        F.when(F.col("rule") == "breach_of_law", F.trim(quoted)).alias("quoted"),
+        F.when(F.col("rule") == "breach_of_law", breach_quoted()).alias("quoted"),
     )
     return scale.salted_join(asked, ruled, ["policy_id", "rule"], spread="claim_id")
 
 
-def rule_lines(pairs: DataFrame) -> DataFrame:
-    """a line per clause about another policy or treatment abroad, as the question bears on it."""
-    who = F.concat(F.lit("clause "), F.col("clause_id"), F.lit(": "))
+def rule_line(t: Callable[[str], Column]) -> Column:
+    """the line of a clause about another policy or treatment abroad, as the question bears on it."""
+    who = F.concat(F.lit("clause "), t("clause_id"), F.lit(": "))
+    other = t("rule") == "another_policy"
     line = (
-        F.when(F.col("rule") == "another_policy", F.concat(who, F.lit("shares the bill with the other policy that is mentioned")))
-        .when(F.col("at_home"), F.concat(who, F.lit("about treatment abroad; home is named too, so settle first where the treatment was")))
+        F.when(other, F.concat(who, F.lit("shares the bill with the other policy that is mentioned")))
+        .when(t("at_home"), F.concat(who, F.lit("about treatment abroad; home is named too, so settle first where the treatment was")))
         .otherwise(F.concat(who, F.lit("bars treatment abroad, and a place abroad is named")))
     )
-    return pairs.filter(F.col("rule").isin("another_policy", "abroad")).select(
-        "claim_id", F.lit(4).alias("block"), F.when(F.col("rule") == "another_policy", 1).otherwise(2).alias("rank"),
-        F.lit(0).alias("minor"), "order_idx", "clause_id", line.alias("line"),
+    return F.struct(
+        F.lit(4).alias("block"), F.when(other, 1).otherwise(2).alias("rank"), F.lit(0).alias("minor"),
+        t("order_idx").alias("order_idx"), t("clause_id").alias("clause_id"), line.alias("line"))
+
+
+def rule_lines(pairs: DataFrame) -> DataFrame:
+    rows = pairs.filter(F.col("rule").isin("another_policy", "abroad")).select("claim_id", rule_line(F.col).alias("l"))
+    return rows.select("claim_id", "l.*")
+
+
+def annexure_labels(c: Column) -> Column:
+    return F.array_distinct(
+        F.transform(F.regexp_extract_all(c, F.lit(fixed.RE_ANNEXURE), F.lit(1)), lambda x: F.upper(x))
     )
 
 
 def dangling_annexures(clauses: DataFrame, key: str = "doc_id") -> DataFrame:
     """F16: annexures a clause names and no section title of the document has."""
-    labels = lambda c: F.array_distinct(
-        F.transform(F.regexp_extract_all(c, F.lit(fixed.RE_ANNEXURE), F.lit(1)), lambda x: F.upper(x))
-    )
+    labels = annexure_labels
     named = clauses.select(key, "clause_id", "order_idx", F.explode(labels(F.col("text"))).alias("label"))
     present = clauses.select(key, F.explode(labels(F.col("section_path"))).alias("label")).distinct()
     return named.join(present, [key, "label"], "left_anti")

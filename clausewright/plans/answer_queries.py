@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from clausewright.functions import fixed
 from clausewright.functions import text as tx
 from clausewright.operators import (
-    checks, claims, corrections, lookups, quotes, responses, verdicts,
+    claims, corrections, dossier, lookups, quotes, responses, verdicts,
 )
 from clausewright.plans import oracle as o
 from clausewright.plans import oracle_claims as oc
@@ -68,17 +68,13 @@ def q4_turns(spark, sf):
 
 
 def case_rows(spark, sf):
-    """Claims, policies and citations are worked out once and read by all checks."""
+    """Claims and policies are worked out once; a claim, its policy's checks and its answer meet in one row."""
     claimed = stores.written_once(views.claims(spark, sf), "claims")
-    asked = stores.written_once(claims.prepare_claims(claimed), "prepared-claims")
     pol = stores.written_once(views.policies(spark, sf), "policies")
     answered = views.answers_to(claimed)
     cited = quotes.audit_quotes(views.citations_of(answered, pol), pol)
-    return verdicts.case_rows(
-        answered, cited, asked,
-        checks.waiting_checks(asked, pol), checks.reduction_checks(asked, pol), checks.window_checks(asked, pol),
-        lookups.naming_exclusions(asked, pol),
-        lookups.dangling_annexures(pol, "policy_id"), lookups.trigger_pairs(asked, pol))
+    files = dossier.open_files(claims.prepare_claims(claimed), dossier.pack(pol))
+    return verdicts.filed_rows(answered, cited, files)
 
 
 ADVERSE = o.q_list(fixed.ADVERSE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausewright.functions import fixed
-from clausewright.operators import checks, claims, lookups, shortlist
+from clausewright.operators import checks, claims, dossier, lookups, shortlist
 from clausewright.plans import oracle as o
 from clausewright.plans import oracle_claims as oc
 from clausewright.plans import views
@@ -87,24 +87,11 @@ def f9(spark, sf):
     select 'waiting' as family, status from v_waits union all select 'window', status from v_windows
     union all select kind, status from v_cuts) group by all""")
 def f59(spark, sf):
-    return checks.evaluate_claims(prepared(spark, sf), views.policies(spark, sf)).groupBy("family", "status").agg(
-        F.count("*").alias("checks"))
+    return dossier.statuses(files(spark, sf)).groupBy("family", "status").agg(F.count("*").alias("checks"))
 
 
-def named_any(spark, sf):
-    asked, pol = prepared(spark, sf), views.policies(spark, sf)
-    raised = "status <> 'not_raised'"
-    absent = lookups.dangling_annexures(pol, "policy_id").select("policy_id", "clause_id").distinct()
-    from clausewright.operators import scale
-
-    return lookups.named_by_checks(
-        checks.waiting_checks(asked, pol),
-        checks.reduction_checks(asked, pol).filter(raised),
-        checks.window_checks(asked, pol).filter(raised),
-        lookups.shared_words(asked, pol),
-        lookups.trigger_pairs(asked, pol),
-        scale.salted_join(asked.select("claim_id", "policy_id"), absent, ["policy_id"], spread="claim_id"),
-    )
+def files(spark, sf):
+    return dossier.open_files(prepared(spark, sf), dossier.pack(views.policies(spark, sf)))
 
 
 @query("f10_shortlist", """
@@ -192,7 +179,7 @@ def f16(spark, sf):
 
 @query("f17_named_clauses", "select claim_id, clause_id from v_named_any")
 def f17(spark, sf):
-    return named_any(spark, sf).select("claim_id", "clause_id")
+    return dossier.named_by_checks(files(spark, sf)).select("claim_id", "clause_id")
 
 
 @query("f18_narrowed", """
@@ -228,14 +215,7 @@ def f18(spark, sf):
     from v_lines_of_claims where line is null group by claim_id, block)
   group by claim_id""")
 def f19(spark, sf):
-    asked = stores.written_once(prepared(spark, sf), "prepared-claims")
-    pol = stores.written_once(views.policies(spark, sf), "policies")
-    lines = checks.waiting_lines(
-        checks.waiting_checks(asked, pol), lookups.named_in_question(asked, pol)
-    ).unionByName(checks.reduction_lines(checks.reduction_checks(asked, pol))).unionByName(
-        checks.window_lines(checks.window_checks(asked, pol))).unionByName(
-        lookups.rule_lines(lookups.trigger_pairs(asked, pol)))
-    return checks.evidence(lines)
+    return dossier.evidence(files(spark, sf))
 
 
 @query("t14_analysis_profile", """

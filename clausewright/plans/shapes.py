@@ -172,7 +172,7 @@ POLICY_CLAUSES = [
             "rhinoplasty unless needed after a burn, are not paid.'",
             "exclusion", exception="'needed after a burn'"),
     _clause(12, "SECTION 4 EXCLUSIONS", "4.2", "4.2 Abroad",
-            "'4.2 Abroad. Treatment taken outside the geographical limits of India is not paid.'",
+            "'4.2 Abroad. No bill of a hospital outside India is paid, whatever the reason for the journey.'",
             "exclusion"),
     _clause(13, "SECTION 5 CONDITIONS", "", "",
             "'Contribution. Where other insurance covers the same claim a rateable proportion is paid; see Annexure II and Annexure V.'",
@@ -256,7 +256,7 @@ ANSWER = {
 EFFECT_OF = {0: "denies", 1: "delays", 2: "reduces", 3: "requires", 4: "permits"}
 # Which clause the j-th citation of an answer is of; answers have 0 to 3.
 CITED_IDX = "cast((claim_id + j * 5) % 15 as int)"
-CITATIONS = "cast((claim_id + policy_id) % 4 as int)"
+CITATIONS = "cast((claim_id % 7 + policy_id) % 4 as int)"
 EFFECT = _cases("(claim_id + policy_id * j) % 5", {k: _q(v) for k, v in EFFECT_OF.items()})
 
 

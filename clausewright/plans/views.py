@@ -71,8 +71,9 @@ def policy_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "struct(" + ", ".join(f"{sql} as {name}" for name, sql in c.items()) + ")"
         for c in shapes.POLICY_CLAUSES
     )
-    # By policy before the clauses are made, which is how the claims ask for them.
-    part = table(spark, sf_dir, "part").repartition("p_partkey")
+    # By policy before the clauses are made, which is how the claims ask for them. The number is given, as
+    # adaptive execution sees only the few bytes of a part and not the clauses it becomes.
+    part = table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     return (
         part.select(F.col("p_partkey").alias("policy_id"), F.expr(f"explode(array({rows}))").alias("c"))
         .select("policy_id", "c.*")

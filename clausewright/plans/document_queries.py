@@ -159,7 +159,7 @@ def s2(spark, sf):
 @query("s2_visible_characters", f"""
   select page_id, n as visible, n as in_lines from (
     select page_id, length(regexp_replace({o.unescape(
-      "regexp_replace(regexp_replace(html, " + o.q(ln.RE_DROPPED) + ", '', 'g'), '<[^>]*>', ' ', 'g')")}, '[\\x00-\\x20]+', '', 'g')) as n
+      "regexp_replace(regexp_replace(html, " + o.q(ln.RE_DROPPED) + ", '', 'g'), " + o.q(ln.RE_TAG) + ", ' ', 'g')")}, '[\\x00-\\x20]+', '', 'g')) as n
     from pages)""")
 def s2_visible(spark, sf):
     """Every visible character of a page is in a line: what is left of the page without its tags, and the lines."""

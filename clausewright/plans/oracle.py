@@ -75,9 +75,16 @@ def case_of(c: str, table: dict) -> str:
 
 
 def unescape(c: str) -> str:
-    for name, char in ln.ENTITIES.items():
-        c = f"replace({c}, {q(name)}, {q(char)})"
-    return c
+    ref = q(f"&(?:{ln.RE_REFERENCE})")
+    names, chars = (f"[{', '.join(map(q, part))}]" for part in (ln.ENTITIES, ln.ENTITIES.values()))
+    number = (
+        "case when lower(r[2:3]) = '#x' then cast('0x' || r[4:-2] as bigint) when r[2] = '#' then cast(r[3:-2] as bigint) end")
+    char = (
+        f"case when {number} is null then {chars}[list_position({names}, r[2:-2])] "
+        f"when {number} between 1 and 55295 or {number} between 57344 and 1114111 then chr(cast({number} as int)) end")
+    told = f"list_transform(regexp_extract_all({c}, {ref}), lambda r: coalesce({char}, r))"
+    parts = f"regexp_split_to_array({c}, {ref})"
+    return f"array_to_string(flatten(list_transform(list_zip({parts}, {told}), lambda x: [coalesce(x[1], ''), coalesce(x[2], '')])), '')"
 
 
 def despaced(c: str) -> str:
@@ -333,7 +340,7 @@ CTES: dict[str, str] = {
             select page_id, url, unnest(pieces) as piece, generate_subscripts(pieces, 1) - 1 as block_no
             from (
               select page_id, url, string_split(regexp_replace(regexp_replace(html, {q(ln.RE_DROPPED)}, '', 'g'),
-                '(?is)<(/?(?:{ln.BLOCKS}))\b[^>]*>', chr(1) || '\1' || chr(2), 'g'), chr(1)) as pieces
+                {q("(?is)<(/?(?:" + ln.BLOCKS + "))" + chr(92) + "b" + ln.RE_ATTRIBUTES + ">")}, chr(1) || '\1' || chr(2), 'g'), chr(1)) as pieces
               from pages))))
       where text <> ''""",
     "v_repeated": f"""

@@ -8,6 +8,8 @@ window over `doc_id` is bounded by it. Documents put together from many rows
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,29 +72,39 @@ BLOCKS = (
     "h[1-6]|p|br|hr|li|ul|ol|dl|dt|dd|table|caption|thead|tbody|tfoot|tr|th|td|pre"
 )
 RE_DROPPED = r"(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-RE_BLOCK_TAG = rf"(?is)^<(/?(?:{BLOCKS}))\b[^>]*>"
+# The rest of a tag up to its end: a quoted value may hold what would end it.
+RE_ATTRIBUTES = r"""[^'">]*(?:(?:"[^"]*"|'[^']*')[^'">]*)*"""
+RE_BLOCK_TAG = rf"(?is)^<(/?(?:{BLOCKS}))\b{RE_ATTRIBUTES}>"
 RE_BOLD = r"(?is)<(?:b|strong)\b"
 RE_BOLD_LATER = r"(?is)[^\s<>][^<>]*<(?:b|strong)\b|^\s*<(?:b|strong)\b[^>]*>[^<]*</(?:b|strong)>.*<(?:b|strong)\b"
-RE_TAG = r"(?s)<[^>]*>"
-# Named characters; the ampersand comes last, as it may spell another.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®",
-    "&trade;": "™", "&middot;": "·", "&bull;": "•", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&lsquo;": "‘",
-    "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&pound;": "£",
-    "&deg;": "°", "&sect;": "§", "&para;": "¶", "&times;": "×", "&amp;": "&",
-}
+# A tag begins with a letter, a slash or a declaration; any other `<` is text.
+RE_TAG = rf"(?s)<[A-Za-z/!?]{RE_ATTRIBUTES}>"
+# What may be a character reference, up to its semicolon.
+RE_REFERENCE = r"#[0-9]{1,7};|#[xX][0-9A-Fa-f]{1,6};|[A-Za-z][A-Za-z0-9]{1,7};"
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 
 
 def unescape(c):
-    """Named characters, and numbers in decimal form."""
-    parts = F.split(c, r"&#(?=[0-9]{1,6};)")
-    numbered = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(
-        F.decode(F.unhex(F.lpad(F.hex(F.substring_index(p, ";", 1).cast("bigint")), 8, "0")), "UTF-32"),
-        F.substring(p, F.instr(p, ";") + 1, F.length(p))))
-    c = F.when(F.size(parts) > 1, F.concat(parts[0], F.array_join(numbered, ""))).otherwise(c)
-    for name, char in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Characters named by HTML 4, and numbers in decimal and hexadecimal form, each reference once.
+
+    What names nothing stays as it is: an unknown name, zero, half a pair, a number past the last character.
+    """
+    parts = F.split(c, f"&(?={RE_REFERENCE})")
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def read(p):
+        name = F.substring_index(p, ";", 1)
+        number = (
+            F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, 3, 7), 16, 10).cast("bigint"))
+            .when(name.startswith("#"), F.substring(name, 2, 7).cast("bigint")))
+        valid = (number > 0) & ~number.between(0xD800, 0xDFFF) & (number <= 0x10FFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).when(
+            number.isNull(), named[name])
+        rest = F.substring(p, F.instr(p, ";") + 1, F.length(p))
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), p))
+
+    found = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), read)
+    return F.when(F.size(parts) > 1, F.concat(parts[0], F.array_join(found, ""))).otherwise(c)
 
 
 def html_lines(pages: DataFrame, page_id: str = "page_id", html: str = "html", keep: list[str] | None = None) -> DataFrame:

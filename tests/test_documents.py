@@ -246,3 +246,21 @@ def test_lines_to_top_risks_in_one_exchange(spark):
         registry.QUERIES["t8_top_risks"](spark, "/root/testdata/sf0.001").explain()
     plan = out.getvalue()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and plan.count("FileScan") == 1
+
+
+def test_markup_is_told_from_text(spark):
+    from clausewright.sources import lines as ln
+
+    pages = [
+        (1, "<p>1 < 2 and b > c</p><p>a <b title='x > y'>bold</b> <3 end"),
+        (2, '<p data-x="1 > 0">caf&eacute; &#x27;&uuml;&#x1F600;&#233;&#0;&#xD800; &unknown; &amp;lt; &AMP; &nbsp;&apos;</p>'),
+        (3, "<!DOCTYPE html><h1 class=a>Head &copy</h1></><p>" + "x" * 20000 + " <i " + "y" * 20000 + ">z</i>"),
+        (4, None), (5, ""), (6, "no tag & no end <b"),
+    ]
+    got = {}
+    for r in ln.html_lines(spark.createDataFrame(pages, "page_id long, html string")).orderBy("page_id", "block_no").collect():
+        got.setdefault(r.page_id, []).append(r.text)
+    assert got[1] == ["1 < 2 and b > c", "a bold <3 end"]
+    assert got[2] == ["café 'ü😀é&#0;&#xD800; &unknown; &lt; &AMP; '"]
+    assert got[3] == ["Head &copy", "x" * 20000 + " z"]
+    assert got[6] == ["no tag & no end <b"] and 4 not in got and 5 not in got

@@ -132,6 +132,32 @@ def test_latest_status_stream_equals_batch(spark, folder):
     assert sorted(seen.values()) == sorted(map(tuple, status.latest_status(updates).collect()))
 
 
+def test_finished_documents_leave_the_state(spark, folder):
+    schema = "doc_id long, seq long, ts timestamp, status string, progress double"
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    parts = [
+        [(1, 1, at(1), "pending", 0.0), (1, 2, at(1, 30), "ready", 1.0), (2, 1, at(1), "pending", None)],
+        [(3, 1, at(9), "pending", 0.1)],  # moves the watermark past the time of 1
+        [(4, 1, at(10), "failed", 0.0)],  # the state of 1 goes
+        [(1, 1, at(1), "pending", 0.0), (2, 2, at(11), "ready", 1.0), (1, 9, at(11), "pending", 0.5)],
+    ]
+    source, seen, sizes = os.path.join(folder, "in"), [], []
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        q = status.stream_bounded_status(
+            spark.readStream.schema(schema).parquet(source), os.path.join(folder, "cp"),
+            lambda batch, _id: seen.append({r.doc_id: (r.status, r.progress, r.updates) for r in batch.collect()}))
+        q.awaitTermination(120)
+        sizes += [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators][-1:]
+    told = {}
+    for batch in seen:
+        told.update(batch)
+    assert seen[0] == {1: ("ready", 1.0, 2), 2: ("pending", None, 1)}
+    # The straggler of 1 is dropped; its new update starts afresh, that of 2 goes on.
+    assert told == {1: ("pending", 0.5, 1), 2: ("ready", 1.0, 2), 3: ("pending", 0.1, 1), 4: ("failed", 0.0, 1)}
+    assert max(sizes) <= 4
+
+
 def test_clause_stream_is_idempotent_per_document(spark, folder):
     arrivals, store = os.path.join(folder, "in"), os.path.join(folder, "store")
     docs = [(d, f"SECTION 1 BENEFITS\n1.1 Stay {d}\nWe pay.\n1.2 Day care\nWe pay less.") for d in range(6)]

@@ -32,11 +32,18 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    hidden = f"_{name}"
+    while hidden in taken:
+        hidden += "_"
+    return hidden
+
+
 def attach(df: DataFrame, result: Column, fields: list[str]) -> DataFrame:
     """`df` with the fields of a struct; an input column of the same name gives way."""
-    hidden = "_result"
-    while hidden in df.columns:
-        hidden += "_"
+    hidden = unused(df, "result")
     taken = {f.lower() for f in fields}
     return df.withColumn(hidden, result).select(
         *[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken],

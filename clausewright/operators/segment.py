@@ -270,6 +270,9 @@ def assemble(started: DataFrame) -> DataFrame:
     )
 
 
+_LINKS = "array<struct<at:int,page:int,is_clause:boolean>>"
+
+
 def piece_ends(text: Column, limit: int = fixed.CLAUSE_MAX_CHARS, sentence: str = fixed.RE_SENTENCE_LINE_END) -> Column:
     """Ends of the pieces of an oversize text: array<int>, at least one.
 
@@ -301,27 +304,29 @@ def piece_ends(text: Column, limit: int = fixed.CLAUSE_MAX_CHARS, sentence: str
 def split_oversize(rows: DataFrame) -> DataFrame:
     """Clauses over the limit become pieces; one character is skipped at each cut."""
     over = F.col("is_clause") & (F.length("text") > fixed.CLAUSE_MAX_CHARS)
-    cut = rows.withColumn(
-        "_ends", F.when(over, piece_ends(F.col("text"))).otherwise(F.array(F.length("text").cast("int"))))
-    starts = F.transform(
-        F.col("_ends"), lambda e, i: F.when(i == 0, F.lit(0)).otherwise(F.get("_ends", i - 1) + 1)
-    )
-    pieces = cut.withColumn("_starts", starts).select(
-        *rows.columns, F.posexplode(F.arrays_zip("_starts", "_ends")).alias("_n", "_cut")
-    )
-    piece = F.col("_cut._starts")
+    ends = F.when(over, piece_ends(F.col("text"))).otherwise(F.array(F.length("text").cast("int")))
+    pieces = F.transform(ends, lambda e: F.struct(e.alias("end"), F.col("page_start").alias("page")))
+    return _pieces_at(rows.withColumn("_pieces", pieces))
+
+
+def _pieces_at(rows: DataFrame) -> DataFrame:
+    """The pieces of each row, by `_pieces`: where each ends in the text, and its first page."""
+    pieces = rows.withColumn("_starts", F.transform(
+        "_pieces", lambda _, i: F.when(i == 0, F.lit(0)).otherwise(F.get("_pieces", i - 1)["end"] + 1)))
+    pieces = pieces.select(
+        *[c for c in rows.columns if c not in ("_pieces", "page_start")],
+        F.posexplode(F.arrays_zip("_starts", "_pieces")).alias("_n", "_cut"))
+    start, end = F.col("_cut._starts"), F.col("_cut._pieces.end")
     return pieces.select(
         "doc_id", "is_clause",
-        (F.col("char_start") + piece).alias("char_start"),
-        F.when(F.col("is_clause"), F.col("char_start") + F.col("_cut._ends"))
-        .otherwise(F.col("char_end")).alias("char_end"),
-        "page_start", "page_end", "number",
+        (F.col("char_start") + start).alias("char_start"),
+        F.when(F.col("is_clause"), F.col("char_start") + end).otherwise(F.col("char_end")).alias("char_end"),
+        F.col("_cut._pieces.page").alias("page_start"), "page_end", "number",
         F.when(F.col("_n") == 0, F.col("heading"))
         .otherwise(F.concat("heading", F.lit(" (cont.)"))).alias("heading"),
         "section_path",
-        F.expr("substring(text, _cut._starts + 1, _cut._ends - _cut._starts)").alias("text"),
-        F.when(F.col("_n") == 0, F.col("joint"))
-        .otherwise(F.expr("substring(text, _cut._starts, 1)")).alias("joint"),
+        F.substring("text", start + 1, end - start).alias("text"),
+        F.when(F.col("_n") == 0, F.col("joint")).otherwise(F.substring("text", start, F.lit(1))).alias("joint"),
     )
 
 
@@ -329,7 +334,8 @@ def merge_lead_ins(rows: DataFrame) -> DataFrame:
     """An unnumbered clause ending in a colon or semicolon joins the one below.
 
     Chains collapse: the island id is a running count from the end of the
-    document of the clauses that are not lead-ins.
+    document of the clauses that are not lead-ins. `_links` holds for each clause
+    of a chain where it begins in the joined text, and on which page.
     """
     whole = Window.partitionBy("doc_id")
     last_start = F.max(F.when(F.col("is_clause"), F.col("char_start"))).over(whole)
@@ -347,7 +353,7 @@ def merge_lead_ins(rows: DataFrame) -> DataFrame:
         .withColumn("_group", F.sum("_keeps").over(upwards))
     )
     parts = F.array_sort(
-        F.collect_list(F.struct("char_start", "is_clause", "joint", "text"))
+        F.collect_list(F.struct("char_start", "is_clause", "joint", "text", "page_start"))
     )
     clause_only = lambda c: F.when(F.col("is_clause"), F.col(c))
     merged = df.groupBy("doc_id", "_group").agg(
@@ -369,13 +375,49 @@ def merge_lead_ins(rows: DataFrame) -> DataFrame:
         ),
         "",
     )
+    # Where each part begins: what stands before it, joints included.
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_LINKS).alias("links"))
+
+    def placed(held: Column, p: Column) -> Column:
+        start = F.when(F.size(held["links"]) == 0, F.lit(0)).otherwise(held["at"] + F.length(p["joint"]))
+        grown = F.struct(start.alias("at"), p["page_start"].alias("page"), p["is_clause"].alias("is_clause"))
+        return F.struct((start + F.length(p["text"])).alias("at"), F.concat(held["links"], F.array(grown)).alias("links"))
+
+    links = F.filter(F.aggregate(kept, begin, placed)["links"], lambda x: x["is_clause"])
     return merged.select(
         "doc_id", F.lit(True).alias("is_clause"), "char_start", "char_end", "page_start", "page_end",
         "_follower.number", "_follower.heading", "_follower.section_path",
-        text.alias("text"), "joint",
+        text.alias("text"), "joint", links.alias("_links"),
     )
 
 
+def chain_ends(text: Column, links: Column, limit: int = fixed.CLAUSE_MAX_CHARS) -> Column:
+    """Pieces of a joined text as array<struct<end, page>>: cut again at each link, from the last clause up.
+
+    A link adds its clause in front of the first piece so far; if that grows
+    over the limit it is cut, and only its own first piece takes the next link.
+    """
+    first = F.struct(F.length(text).alias("end"), F.element_at(links, -1)["page"].alias("page"))
+    above = F.reverse(F.slice(links, 1, F.size(links) - 1))
+
+    def link(pieces: Column, x: Column) -> Column:
+        size = pieces[0]["end"] - x["at"]
+        whole = F.array(F.struct(pieces[0]["end"].alias("end"), x["page"].alias("page")))
+        cut = F.transform(
+            piece_ends(F.substring(text, x["at"] + 1, size), limit),
+            lambda e: F.struct((x["at"] + e).alias("end"), x["page"].alias("page")))
+        return F.concat(F.when(size > limit, cut).otherwise(whole), F.slice(pieces, 2, F.size(pieces)))
+
+    folded = F.aggregate(above, F.array(first), link)
+    return F.when(F.length(text) > limit, folded).otherwise(
+        F.array(F.struct(F.length(text).alias("end"), links[0]["page"].alias("page"))))
+
+
+def split_chains(merged: DataFrame) -> DataFrame:
+    """B9b, second half: the clauses of `merge_lead_ins`, those over the limit cut link by link."""
+    return _pieces_at(merged.withColumn("_pieces", chain_ends(F.col("text"), F.col("_links"))).drop("_links"))
+
+
 def mark_group_headings(clauses: DataFrame) -> DataFrame:
     """B9c with the final order: a top-level number directly above its first child."""
     w = Window.partitionBy("doc_id").orderBy("char_start")
@@ -401,13 +443,9 @@ def mark_group_headings(clauses: DataFrame) -> DataFrame:
 
 
 def segment(lines: DataFrame) -> DataFrame:
-    """Lines to clauses: B1-B9c in order.
-
-    A chain of lead-ins above a piece close to the limit is split again once
-    here; splitting once per link could place those cuts differently.
-    """
+    """Lines to clauses: B1-B9c in order."""
     pieces = split_oversize(assemble(clause_starts(lines)))
-    return mark_group_headings(split_oversize(merge_lead_ins(pieces)))
+    return mark_group_headings(split_chains(merge_lead_ins(pieces)))
 
 
 def citation_ids(clauses: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (`spark.checkpoint.dir`).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (`spark.checkpoint.dir`).
 
     A session of one process, as in tests, may do without the setting and gets a
     folder of its own; on a cluster its executors could not read that.
@@ -21,7 +21,12 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written_once(df: DataFrame, name: str) -> DataFrame:

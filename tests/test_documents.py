@@ -132,6 +132,47 @@ def test_lead_ins_join_the_clause_below(spark):
     assert got[0][3] == "We shall not pay for:\nEXCLUSIONS\nany of the following;\n4.1 Theft"
 
 
+def walked_chain(parts, limit):
+    """(end, page) of the pieces of joined parts (text, page), by walking up from the last part."""
+    text, starts = "", []
+    for part, _ in parts:
+        starts.append(len(text) + (1 if text else 0))
+        text += ("\n" if text else "") + part
+    pieces = [(len(text), parts[-1][1])]
+    for at, (_, page) in reversed(list(zip(starts, parts))[:-1]):
+        end = pieces.pop(0)[0]
+        cut = [at + e for e in brute_cuts(text[at:end], limit)] if end - at > limit else [end]
+        pieces = [(e, page) for e in cut] + pieces
+    return text, starts, pieces
+
+
+def test_chains_are_cut_link_by_link(spark):
+    sentence = "The company pays nothing for such harm.\n"
+    last = (sentence * 80)[:2990]
+    cases = [
+        ([("We shall not pay for:", 1), ("any of these;", 2), ("in the case of:", 3), ("harm by:", 4), (last, 5)], 3000),
+        ([("a:", 1), ("b:", 2), (last[:200], 3)], 3000),
+        ([(sentence * 30 + "all of:", 1), (sentence * 40 + "none of:", 2), (last, 3)], 3000),
+        ([(last, 9)], 3000),
+        ([("p:", 1), ("q" * 90 + ":", 2), ("r:", 3), ((sentence * 4)[:95], 4)], 100),
+    ]
+    for parts, limit in cases:
+        text, starts, want = walked_chain(parts, limit)
+        links = [(at, page) for at, (_, page) in zip(starts, parts)]
+        row = spark.createDataFrame([(text, links)], "text string, links array<struct<at:int,page:int>>")
+        got = row.select(segment.chain_ends(F.col("text"), F.col("links"), limit).alias("p")).first()["p"]
+        assert [tuple(x) for x in got] == want
+    assert len(walked_chain(*cases[0])[2]) > 1
+
+
+def test_a_chain_over_the_limit_differs_from_one_cut(spark):
+    body = "\n".join(["The company pays nothing for such harm."] * 74)
+    got = cut(spark, [line("We shall not pay for:"), line("any of the following;"), line("in the case of:")]
+              + [line("4.1 Theft")] + [line(x) for x in body.split("\n")])
+    assert [g[0] for g in got] == ["4.1", "4.1"] and got[0][3].startswith("We shall not pay for:\nany")
+    assert got[1][1].endswith("(cont.)") and all(len(g[3]) <= 3000 for g in got)
+
+
 def test_group_headings_are_marked(spark):
     got = cut(spark, [line("1. Hospital cover"), line("1.1 Room"), line("2. Capped at 2% a day"), line("2.1 Ward")])
     assert [g[4] for g in got] == [True, False, False, False]

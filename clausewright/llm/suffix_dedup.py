@@ -11,8 +11,11 @@ anchor in one text are neighbours; together they are a segment.
    number of its occurrences as weight.
 2. The bytes of one segment of each kind go to the bucket of its anchor hash. An
    anchor with too many different segments is split by the place of the window
-   around it: the halves have more bytes in common, which tells them apart, and
-   at the last step a segment is a single window.
+   around it: the windows of a half have more bytes in common, and these join the
+   key. After a cut parts with equal bytes are one part, with their weights
+   summed, and a part whose key has no other has no repeated window; both leave
+   before the next cut. A table of numbers holds which part lies where in what
+   it was cut from, so that what is found in a part comes back to all segments.
 3. In a bucket the segments are dealt into shards. A shard sorts its own
    suffixes; each round then extends all suffixes by one symbol (`STEP` bytes) to
    the left. The interleave says, for each place of the merged order, which shard
@@ -187,15 +190,14 @@ _RESULT = "gram bigint, seg bigint, runs array<int>"
 
 def _bucket(table: pa.Table) -> pa.Table:
     segs = table.column("bytes").to_pylist()
-    keys = table.column("key").to_numpy()
-    shift = table.column("shift").to_pylist()
+    keys = table.column("gram").to_numpy()
     found = repeated_windows(keys, segs, table.column("n").to_numpy())
     keep, runs = [], []
     for i, flags in enumerate(found):
         own = _runs(flags)
         if own:
             keep.append(i)
-            runs.append([x + shift[i] for x in own])
+            runs.append(own)
     rows = table.select(["gram", "seg"]).take(pa.array(keep, pa.int64()))
     return rows.append_column("runs", pa.array(runs, pa.list_(pa.int32())))
 
@@ -205,53 +207,60 @@ def _text_key(text: Column) -> list[Column]:
 
 
 def _halves(rows: DataFrame) -> DataFrame:
-    """Each segment as its parts with the anchor in the left and in the right half of the range; empty ones go.
+    """Each part as two, with the anchor in the left and in the right half of the range; empty ones go.
 
     (near, far): least and greatest distance from a window to the anchor, as all
-    segments of the key may have it; (low, high): as this one has it.
+    parts of the key may have it; (low, high): as this one has it. `shift` is the
+    place of the new part in the old one, named (gram, seg) as (from_gram, from_seg).
     """
     middle = ((F.col("near") + F.col("far")) / 2).cast("int")
     parts = F.array(
         F.struct(F.col("near").alias("near"), middle.alias("far")),
         F.struct((middle + 1).alias("near"), F.col("far").alias("far")))
     cut = rows.withColumn("p", F.explode(parts)).select(
-        "gram", "seg", "n", "bytes", "shift", F.col("low").alias("l"), F.col("high").alias("h"), "p.near", "p.far",
+        "gram", "seg", "n", "bytes", F.col("low").alias("l"), F.col("high").alias("h"), "p.near", "p.far",
         F.greatest("low", "p.near").alias("low"), F.least("high", "p.far").alias("high"),
     ).where("low <= high")
-    from_ = F.col("h") - F.col("high")
-    cut = cut.withColumns({
-        "bytes": F.substring("bytes", from_ + 1, F.col("high") - F.col("low") + LENGTH),
-        "shift": F.col("shift") + from_})
-    shared = F.substring("bytes", F.col("high") - F.col("far") + 1 + F.col("far") - F.col("near"), LENGTH - F.col("far") + F.col("near"))
-    return cut.withColumn("key", F.xxhash64("gram", "near", shared)).drop("l", "h")
+    shift = F.col("h") - F.col("high")
+    cut = cut.withColumn("shift", shift).withColumn(
+        "bytes", F.substring("bytes", F.col("shift") + 1, F.col("high") - F.col("low") + LENGTH))
+    wide = F.col("far") - F.col("near")
+    shared = F.substring("bytes", F.col("high") - F.col("far") + 1 + wide, LENGTH - wide)
+    return cut.select(
+        F.col("gram").alias("from_gram"), F.col("seg").alias("from_seg"), "shift", "n", "bytes", "low", "high", "near", "far",
+        F.xxhash64("gram", "near", shared).alias("gram")).withColumn("seg", F.xxhash64("low", "high", "bytes"))
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    """(gram, seg, runs) of different segments (gram, seg, n, bytes, low, high)."""
-    rows = rows.select(
-        "gram", "seg", "n", "bytes", F.lit(0).alias("shift"), "low", "high", F.lit(0).alias("near"),
-        F.lit(LENGTH - GRAM).alias("far"), F.col("gram").alias("key"))
-    out = None
+    """(gram, seg, runs) of different segments (gram, seg, n, bytes, low, high), in one row or several."""
+    rows = rows.select("gram", "seg", "n", "bytes", "low", "high", F.lit(0).alias("near"), F.lit(LENGTH - GRAM).alias("far"))
+    found, origins = [], []
     while True:
         rows = common.stored(rows, "suffix-segments")
-        large = rows.groupBy("key").count().where(F.col("count") > MAX_SEGMENTS).select("key")
-        large = common.stored(large, "suffix-large")
+        keys = common.stored(rows.groupBy("gram").agg(F.count("*").alias("different"), F.sum("n").alias("weight")), "suffix-keys")
+        large = common.stored(keys.where(F.col("different") > MAX_SEGMENTS).select("gram"), "suffix-large")
         some = not large.isEmpty()
-        small = rows.join(large, "key", "left_anti") if some else rows
+        idle = keys.where((F.col("different") > MAX_SEGMENTS) | (F.col("weight") < 2)).select("gram")
+        # Before the first cut every anchor occurs twice or more: nothing to leave out.
+        small = rows.join(idle, "gram", "left_anti") if some or origins else rows
         size = small.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
         buckets = int(size // BUCKET_BYTES) + 1
-        done = small.select("gram", "seg", "n", "bytes", "shift", "key", F.pmod("key", F.lit(buckets)).alias("bucket"))
-        found = done.groupBy("bucket").applyInArrow(_bucket, _RESULT)
-        out = found if out is None else out.union(found)
+        found.append(
+            small.select("gram", "seg", "n", "bytes", F.pmod("gram", F.lit(buckets)).alias("bucket"))
+            .groupBy("bucket").applyInArrow(_bucket, _RESULT))
         if not some:
-            return out
-        hot = rows.join(large, "key", "left_semi")
-        # At the last step a segment is one window; equal ones become one row, whose weight alone decides.
-        single = hot.where("near = far")
-        weight = single.groupBy("key").agg(F.sum("n").alias("w")).where("w >= 2").select("key")
-        out = out.union(single.join(weight, "key", "left_semi").select(
-            "gram", "seg", F.array("shift", F.col("shift") + 1).alias("runs")))
-        rows = _halves(hot.where("near < far"))
+            break
+        # A part of one window has a key of its own, which is never large: the cuts end.
+        cut = common.stored(_halves(rows.join(large, "gram", "left_semi")), "suffix-cut")
+        origins.append(cut.select("from_gram", "from_seg", "gram", "seg", "shift"))
+        rows = cut.groupBy("gram", "seg").agg(F.sum("n").alias("n"), *[
+            F.first(c).alias(c) for c in ("bytes", "low", "high", "near", "far")])
+    out = found.pop()
+    for origin in reversed(origins):
+        back = origin.hint("merge").join(common.stored(out, "suffix-runs"), ["gram", "seg"])
+        back = back.select("from_gram", "from_seg", F.expr("transform(runs, x -> x + shift)").alias("runs"))
+        out = found.pop().union(back)
+    return out
 
 
 def repeated(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -308,10 +317,10 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
     in two, so it is binary. Columns of these names give way.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    names = ["t1", "t2", "places"]
-    found = common.stored(repeated(docs, text), "suffix-places").select(*[F.col(n).alias(f"_{n}") for n in names])
-    keyed = docs.withColumns({"_text": body, "_k1": F.xxhash64(body), "_k2": F.hash(body)})
-    joined = keyed.join(
-        found.hint("merge"), (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2")), "left")
-    return common.attach(joined, _without("_text", "_places"), ["n_removed", "n_spans", "kept"]).drop(
-        "_text", "_k1", "_k2", "_t1", "_t2", "_places")
+    found = common.stored(repeated(docs, text), "suffix-places")
+    own, k1, k2, places = (common.unused(docs, c) for c in ("text", "k1", "k2", "places"))
+    t1, t2 = (common.unused(docs, c) for c in ("t1", "t2"))
+    found = found.select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("places").alias(places))
+    keyed = docs.withColumns({own: body, k1: F.xxhash64(body), k2: F.hash(body)})
+    joined = keyed.join(found.hint("merge"), (F.col(k1) == F.col(t1)) & (F.col(k2) == F.col(t2)), "left")
+    return common.attach(joined, _without(own, places), ["n_removed", "n_spans", "kept"]).drop(own, k1, k2, t1, t2, places)

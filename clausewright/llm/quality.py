@@ -286,9 +286,10 @@ def score(
     if ref.further is None:
         return judged(docs, F.lit(None))
     here = F.col(lang).isNull() | F.col(lang).cast("string").isin(*held)
-    table = ref.further.select(F.col("l").alias("_lang"), F.col("sums").alias("_sums"))
-    rest = docs.where(~here).join(table, F.col(lang).cast("string") == F.col("_lang"), "left").drop("_lang")
-    return judged(docs.where(here), F.lit(None)).unionByName(judged(rest, F.col("_sums")).drop("_sums"))
+    name, joined = common.unused(docs, "lang"), common.unused(docs, "sums")
+    table = ref.further.select(F.col("l").alias(name), F.col("sums").alias(joined))
+    rest = docs.where(~here).join(table, F.col(lang).cast("string") == F.col(name), "left").drop(name)
+    return judged(docs.where(here), F.lit(None)).unionByName(judged(rest, F.col(joined)).drop(joined))
 
 
 def filter_quality(

@@ -92,7 +92,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").selectExpr(
         "doc_id", "text", "cast(coalesce(octet_length(text), 0) AS bigint) AS n_bytes")
-    counted = token_cache.count_tokens(docs, tokenizer("piece_bpe_32k.model"), common.scratch(spark, "token-counts"))
+    pieces = tokenizer("piece_bpe_32k.model")
+    counted = token_cache.count_tokens(docs, pieces, token_cache.shared_store(spark, pieces))
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 4096 AS over_limit")
 
 

@@ -102,9 +102,9 @@ def splitters(sizes: DataFrame, shards: int, tolerance: float = TOLERANCE) -> li
     return sorted(s.found for s in searches)
 
 
-def _before(key: tuple[int, int]) -> Column:
+def _before(key: tuple[int, int], k1: str, k2: str) -> Column:
     """Whether a row's key is at or after `key`."""
-    return (F.col("_k1") > key[0]) | ((F.col("_k1") == key[0]) & (F.col("_k2") >= key[1]))
+    return (F.col(k1) > key[0]) | ((F.col(k1) == key[0]) & (F.col(k2) >= key[1]))
 
 
 def assign(
@@ -119,30 +119,31 @@ def assign(
     """
     docs = docs.drop("size", "shard", "slot")
     others = identity if identity is not None else [c for c in docs.columns if c != text]
+    k1, k2, block, row, offset = (common.unused(docs, c) for c in ("k1", "k2", "block", "row", "offset"))
     rows = docs.withColumns({
         "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1,
-        "_k1": F.xxhash64(text),
-        "_k2": F.xxhash64(*[F.col(f"`{c}`") for c in others], F.lit(1)),
+        k1: F.xxhash64(text),
+        k2: F.xxhash64(*[F.col(f"`{c}`") for c in others], F.lit(1)),
     })
-    sizes = common.stored(rows.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "size"), "shard-sizes")
+    sizes = common.stored(rows.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), "size"), "shard-sizes")
     # Without rows in between, shards may share a first key; the later ones are then empty.
     cuts = splitters(sizes, shards, tolerance)
-    shard = sum((_before(k).cast("int") for k in cuts), F.lit(0))
+    shard = sum((_before(k, k1, k2).cast("int") for k in cuts), F.lit(0))
     # Blocks of both hashes: a group of equal texts is spread, and the number of blocks is fixed.
-    fine = F.shiftright("_k1", 64 - BLOCK_BITS) * (1 << BLOCK_BITS) + F.shiftright("_k2", 64 - BLOCK_BITS)
-    placed = rows.withColumns({"shard": shard.cast("int"), "_block": fine})
-    keyed = sizes.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).withColumns(
-        {"shard": shard.cast("int"), "_block": fine})
-    counts = keyed.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("shard", "_block").orderBy("_k1", "_k2")
+    fine = F.shiftright(k1, 64 - BLOCK_BITS) * (1 << BLOCK_BITS) + F.shiftright(k2, 64 - BLOCK_BITS)
+    placed = rows.withColumns({"shard": shard.cast("int"), block: fine})
+    keyed = sizes.select(F.col("k1").alias(k1), F.col("k2").alias(k2)).withColumns(
+        {"shard": shard.cast("int"), block: fine})
+    counts = keyed.groupBy("shard", block).agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("shard").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", block, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(offset))
+    inside = Window.partitionBy("shard", block).orderBy(k1, k2)
     return (
-        placed.withColumn("_row", F.row_number().over(inside) - 1)
+        placed.withColumn(row, F.row_number().over(inside) - 1)
         # At most 4,096 blocks and one more for each splitter.
-        .join(F.broadcast(offsets), ["shard", "_block"])
-        .withColumn("slot", (F.col("_row") + F.col("_offset")).cast("bigint"))
-        .select(*[F.col(f"`{c}`") for c in rows.columns if c not in ("_k1", "_k2")], "shard", "slot")
+        .join(F.broadcast(offsets), ["shard", block])
+        .withColumn("slot", (F.col(row) + F.col(offset)).cast("bigint"))
+        .select(*[F.col(f"`{c}`") for c in rows.columns if c not in (k1, k2)], "shard", "slot")
     )
 
 

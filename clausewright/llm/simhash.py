@@ -111,12 +111,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Of rows that repeat an id and a fingerprint one stays.
     """
-    marked = with_fingerprint(docs, text, "_fingerprint")
-    found = common.stored(marked.select(F.col(doc_id).alias("_id"), F.col("_fingerprint").alias("fingerprint")), "simhash")
+    own, kept, least = (common.unused(docs, c) for c in ("fingerprint", "kept", "least"))
+    marked = with_fingerprint(docs, text, own)
+    found = common.stored(marked.select(F.col(doc_id).alias("_id"), F.col(own).alias("fingerprint")), "simhash")
     keep = (
         groups(found, "_id").where(F.col("fingerprint") == F.coalesce("keeper", "fingerprint"))
-        .select(F.col("fingerprint").alias("_kept"), "component_id")
+        .select(F.col("fingerprint").alias(kept), F.col("component_id").alias(least))
     )
-    rows = marked.join(
-        keep, (F.col("_fingerprint") == F.col("_kept")) & F.col(doc_id).eqNullSafe(F.col("component_id")), "left_semi")
-    return rows.dropDuplicates([doc_id, "_fingerprint"]).drop("_fingerprint")
+    rows = marked.join(keep, (F.col(own) == F.col(kept)) & F.col(doc_id).eqNullSafe(F.col(least)), "left_semi")
+    return rows.dropDuplicates([doc_id, own]).drop(own)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clausewright.llm import common
+from clausewright.sources.shared import shared_folder
 
 STORE = "content string, tokenizer string, n_tokens bigint"
 
@@ -89,11 +90,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, store: str, text: str = "text"
     misses.select(
         "content", F.lit(version).alias("tokenizer"), _counter(tokenizer)("t").alias("n_tokens")
     ).write.mode("append").parquet(store)
+    own, found = common.unused(docs, "content"), common.unused(docs, "counted")
     counts = (
         read_store(spark, store).where(F.col("tokenizer") == version)
-        .select(F.col("content").alias("_content"), F.col("n_tokens").alias("_n_tokens"))
-    )
-    rows = docs.drop("n_tokens").withColumn("_content", F.sha2(content, 256))
-    return (
-        rows.join(counts, "_content", "left").withColumnRenamed("_n_tokens", "n_tokens").drop("_content")
+        .select(F.col("content").alias(own), F.col("n_tokens").alias(found))
     )
+    rows = docs.withColumn(own, F.sha2(content, 256)).join(counts, own, "left").drop(own)
+    return rows.drop("n_tokens").withColumnRenamed(found, "n_tokens")
+
+
+def shared_store(spark: SparkSession, tokenizer: str) -> str:
+    """The store of a tokenizer's version in the folder that the cluster shares: the same for every run."""
+    return f"{shared_folder(spark)}/token-counts-{hashlib.sha256(tokenizer_digest(tokenizer).encode()).hexdigest()[:16]}"

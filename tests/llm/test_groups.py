@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clausewright.llm import bpe, graph, queries, sharding, simhash, suffix_dedup, token_cache
+from clausewright.llm import bpe, common, graph, queries, sharding, simhash, suffix_dedup, token_cache
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -200,6 +200,34 @@ def test_repeated_strings_go(spark, monkeypatch, limit):
     assert len(rows) == len(texts) and all(tuple(r[1:]) == want[r["doc_id"]] for r in rows)
 
 
+def test_cuts_grow_with_a_group_not_with_its_windows(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MAX_SEGMENTS", 20)
+    made, halves = [], suffix_dedup._halves
+
+    def counted(rows):
+        out = halves(rows)
+        made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_halves", counted)
+    draw = random.Random(9)
+    base = [f"w{draw.randrange(5000)}" for _ in range(60)]
+    for size in (60, 120):
+        texts = []
+        for _ in range(size):
+            words = list(base)
+            for i in draw.sample(range(60), 3):
+                words[i] = f"n{draw.randrange(10**6)}"
+            texts.append(" ".join(words))
+        made.append(0)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+        rows = suffix_dedup.remove(docs.withColumn("_text", F.lit("own")).withColumn("_K1", F.lit(1))).collect()
+        want = brute_removal(texts)
+        assert all((r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) == want[r["doc_id"]] for r in rows)
+        assert all((r["_text"], r["_K1"]) == ("own", 1) for r in rows) and len(rows) == size
+    assert 0 < made[1] <= 2.5 * made[0] + 60
+
+
 def test_merge_of_many_shards():
     draw = random.Random(2)
     base = [bytes(draw.choice(b"ab") for _ in range(230)) for _ in range(6)]
@@ -225,6 +253,18 @@ def test_removal_over_documents(spark):
     assert suffix_dedup.remove(docs.limit(0)).count() == 0
 
 
+def test_hidden_names_do_not_clash(spark):
+    """Columns that are named as what the operators use inside stay, with their values."""
+    names = ["_text", "_k1", "_K2", "_t1", "_t2", "_places", "_block", "_row", "_offset", "_content", "_counted", "_fingerprint", "_kept", "_least"]
+    rows = [(i, f"one two three four five {i // 2}", *[f"{n}{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id int", "text string", *[f"{n} string" for n in names]]))
+    store = common.scratch(spark, "names")
+    for out in (suffix_dedup.remove(docs), sharding.assign(docs), token_cache.count_tokens(docs, PIECES, store), simhash.one_of_each(docs)):
+        found = out.select("doc_id", "text", *names).collect()
+        assert found and all(tuple(r) == rows[r["doc_id"]] for r in found)
+        assert len(found) == (3 if out.columns == docs.columns else 6)
+
+
 # BPE
 
 @pytest.fixture(scope="module")
@@ -293,3 +333,12 @@ def test_pipeline(spark, encoding):
     assert sorted(queries.QUERIES) == sorted(
         ["op1_pii_surrogates", "op2_toxic_segments", "op3_quality_divergence", "op4_suffix_dedup", "op5_secret_scan",
          "op6_byte_bpe", "op7_histogram_shards", "op8_simhash_groups", "op9_token_counts", "op10_decontamination"])
+
+
+def test_a_second_run_of_the_query_encodes_nothing(spark):
+    store = token_cache.shared_store(spark, PIECES)
+    first = sorted(queries.QUERIES["op9_token_counts"](spark, SF).collect())
+    held = spark.read.parquet(store).count()
+    assert held >= documents(spark).select("text").distinct().count()
+    assert sorted(queries.QUERIES["op9_token_counts"](spark, SF).collect()) == first
+    assert spark.read.parquet(store).count() == held

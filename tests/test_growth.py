@@ -28,3 +28,20 @@ def test_clauses_of_policies_are_never_broadcast(spark, capsys, name):
 def test_clauses_are_not_broadcast_for_the_report(spark, capsys):
     text = plan(__spark_entry__.queries()["e17_report"](spark, SF), capsys)
     assert text.count("SortMergeJoin") >= 5 and "Scan parquet" in text and "BroadcastHashJoin" not in text.split("labels")[0]
+
+
+def test_tasks_over_documents_grow_with_the_text(spark):
+    from pyspark.sql import functions as F
+
+    from clausewright.plans import views
+
+    def tasks(chars):
+        docs = spark.range(60).select(
+            F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit("some text").alias("text"),
+            F.lit(chars).cast("bigint").alias("n_chars"))
+        out = views.by_document(docs)
+        assert out.columns == ["doc_id", "source", "text"] and out.count() == 60
+        return out.rdd.getNumPartitions()
+
+    assert tasks(4_000_000) == 60 and tasks(8_000_000) == 120
+    assert tasks(10) <= spark.sparkContext.defaultParallelism

@@ -8,12 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.sources.shared import scratch, written_once  # noqa: F401
+from clausewright.sources.shared import BATCH_BYTES, bounded_batches, scratch, written_once  # noqa: F401
 
 # Text that a Python worker handles at a time; a longer document is handled alone.
 CHUNK_BYTES = 1 << 20
-# Bytes of an Arrow batch between the JVM and Python.
-BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +23,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return written_once(df, name)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches by bytes rather than by 10,000 rows, unless the session says otherwise."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(2**31 - 1)).rstrip("b")) >= 2**31 - 1:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name that `df` does not have, in any case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -45,3 +45,24 @@ def test_tasks_over_documents_grow_with_the_text(spark):
 
     assert tasks(4_000_000) == 60 and tasks(8_000_000) == 120
     assert tasks(10) <= spark.sparkContext.defaultParallelism
+
+
+def test_a_form_costs_one_count_in_arrow_and_no_backtracking(spark):
+    """Every text against plain Python, with null, empty and unchanged ones; no pattern is left to the JVM."""
+    import re
+
+    from clausewright.operators import evalkit
+
+    texts = [
+        None, "", "plain words", "don't", "pre-\nexisting, per  day  10 % of Rs. 5", "30 days be-\nfore – admission ﬁne means",
+        "WAITING\n\nperiod of 2 years", "é means ß", "a\n\n\nb 5  months",
+    ]
+    patterns = {k: evalkit.NAMED_PATTERNS[k] for k in ("word", "per_day", "duration", "policy_start", "quantity", "not_held")}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    out = evalkit.format_invariance(docs, patterns=patterns)
+    counted = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in counted and "regexp_extract_all" not in counted
+    count = lambda t, p: len(re.findall(p.replace("(?i)", "(?ia)"), t))
+    forms = docs.select("text", *[evalkit.text_form(docs["text"], f).alias(f) for f in evalkit.FORMS]).where("text is not null").collect()
+    want = {(f, n, sum(count(r[f], p) != count(r["text"], p) for r in forms), len(texts)) for f in evalkit.FORMS for n, p in patterns.items()}
+    assert {tuple(r) for r in out.select("form", "pattern", "differs", "texts").collect()} == want

@@ -61,16 +61,19 @@ def with_kept_prefix(df: DataFrame, failed: Column) -> DataFrame:
     run = lambda words, k: F.regexp_replace(
         F.array_join(F.slice(words, 1, k), " "), r"[ ,;:]+$", ""
     )
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size("_plain") - 1),
-        lambda k: F.struct(k.alias("k"), tx.rejoined(run(F.col("_plain"), k)).alias("run")),
-    )
-    fits = lambda r: (
-        (F.length(r["run"]) >= fixed.MIN_QUOTE_CHARS)
-        & (F.length(r["run"]) >= fixed.MIN_KEPT_SHARE * F.length("_said"))
-        & F.contains("_hay", r["run"])
-    )
-    best = F.array_max(F.transform(F.filter(runs, fits), lambda r: r["k"]))
+    joined = lambda k: tx.rejoined(run(F.col("_plain"), k))
+
+    # A shorter run is a leading part of a longer one, so the longest that is held is found by halving.
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.call_function("div", at["lo"] + at["hi"] + 1, F.lit(2)).cast("int")
+        return tx.let(mid, lambda m: F.when(F.contains("_hay", joined(m)), F.struct(
+            m.alias("lo"), at["hi"].alias("hi"))).otherwise(F.struct(at["lo"].alias("lo"), (m - 1).alias("hi"))))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size("_plain"))).cast("int"))
+    held = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), (F.size("_plain") - 1).alias("hi")), halve)["lo"]
+    fits = lambda length: (
+        (length >= fixed.MIN_QUOTE_CHARS) & (length >= fixed.MIN_KEPT_SHARE * F.length("_said")))
+    best = tx.let(held, lambda k: F.when(fits(F.length(joined(k))), k))
     df = df.withColumn("_best", F.when(F.col("_begins") & (F.size("_plain") > 1), best))
     return df.withColumn("_kept", run(F.col("_tokens"), F.col("_best"))).drop(
         "_begins", "_plain", "_tokens", "_best"

@@ -211,11 +211,13 @@ def s4_heads(spark, sf):
 def s5(spark, sf):
     """Rows with provenance, written and read; what was analysed before a document changed is not seen."""
     path, target = _clause_store(spark, sf), shared.scratch(spark, "analysis-store")
-    analysed = views.analysed_clauses(spark, sf).filter("clause_type is not null")
-    scores = views.scored_clauses(spark, sf).filter("impact > 10").select("doc_id", "order_idx", "impact")
-    rows = stores.analysis_rows(
-        views.clauses(spark, sf).select("doc_id", "order_idx"), analysed.select("doc_id", "order_idx", "clause_type"),
-        scores, "model-1", "v2")
+    # The documents are parsed once: the store has their clauses, which are analysed and scored.
+    held = spark.read.parquet(f"{path}/rows").where("batch = 'b-first'").drop("batch", "clause_key")
+    rows = stores.written_once(views.scored(views.analysed(held)).select("doc_id", "order_idx", "clause_type", "impact"), "scored")
+    keys = rows.select("doc_id", "order_idx")
+    analysed = rows.filter("clause_type is not null").select("doc_id", "order_idx", "clause_type")
+    scores = rows.filter("impact > 10").select("doc_id", "order_idx", "impact")
+    rows = stores.analysis_rows(keys, analysed, scores, "model-1", "v2")
     first = spark.read.parquet(f"{path}/heads").where("batch = 'b-first'")
     stores.write_analyses(rows, target, "first", first)
     return stores.read_analyses(spark, target, path).select(

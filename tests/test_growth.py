@@ -66,3 +66,14 @@ def test_a_form_costs_one_count_in_arrow_and_no_backtracking(spark):
     forms = docs.select("text", *[evalkit.text_form(docs["text"], f).alias(f) for f in evalkit.FORMS]).where("text is not null").collect()
     want = {(f, n, sum(count(r[f], p) != count(r["text"], p) for r in forms), len(texts)) for f in evalkit.FORMS for n, p in patterns.items()}
     assert {tuple(r) for r in out.select("form", "pattern", "differs", "texts").collect()} == want
+
+
+def test_analysis_rows_parse_the_documents_once(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from clausewright.plans import views
+
+    calls = []
+    parse = views.clauses
+    monkeypatch.setattr(views, "clauses", lambda *a: calls.append(a) or parse(*a))
+    assert entry.queries()["s5_analysis_rows"](spark, SF).count() > 0
+    assert len(calls) == 1

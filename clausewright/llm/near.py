@@ -1,6 +1,10 @@
 """Near-duplicates by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share a band: a hash of six minima of the set under six keyed
+Operator 8 goes first: fingerprints of the shingles at most three bits apart make
+candidates (`simhash.links`). Texts at similarity 0.8 differ by more bits than its index
+reaches, so bands bring the rest.
+
+Candidates beyond it share a band: a hash of six minima of the set under six keyed
 permutations. With 32 bands a pair at exactly 0.8 shares one with probability
 0.99994, a pair at 0.9 with 1 - 2e-11. Every link is verified on the whole sets, in
 integers, so nothing below the limit is joined.
@@ -65,19 +69,24 @@ def bands(found: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(rows[b].tobytes(), b) - (1 << 63) for b in range(BANDS)]
 
 
+def _signed(bits: int) -> int:
+    """The number with these 64 bits as Spark holds it."""
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 _SIGNED = T.StructType([
     T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()),
-    T.StructField("bands", T.ArrayType(T.LongType())),
+    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType()),
 ])
 
 
 @F.arrow_udf(_SIGNED)
 def _signatures(texts: pa.Array) -> pa.Array:
     sets = (shingles(data) for part in common.chunks(texts) for data in part)
-    rows = [(node(s), len(s), bands(s)) for s in sets]
-    columns = list(zip(*rows, strict=True)) or [[]] * 3
-    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64())]
-    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["node", "n", "bands"])
+    rows = [(node(s), len(s), bands(s), _signed(simhash.of_hashes(s))) for s in sets]
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64()]
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["node", "n", "bands", "fp"])
 
 
 @F.arrow_udf(T.LongType())
@@ -153,6 +162,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         .where(both * (of + least) >= (F.size("sa") + F.size("sb")) * least).select("a", "b"))
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that operator 8 links: each set with the least of its fingerprint, and those of near fingerprints."""
+    # A set without a shingle has no similarity to any other.
+    some = nodes.where("n > 0")
+    hubs = common.stored(some.groupBy("fp").agg(
+        F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("most")), "near-prints")
+    same = some.join(hubs.where("hub.node < most").hint("merge"), "fp").where("node <> hub.node").select(
+        F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
+    at = lambda x: hubs.select(F.col("fp").alias(x), F.col("hub.node").alias(f"_{x}"), F.col("hub.n").alias(f"n{x}")).hint("merge")
+    near = simhash.links(hubs).distinct().join(at("a"), "a").join(at("b"), "b").select(
+        F.col("_a").alias("a"), F.col("_b").alias("b"), "na", "nb")
+    return same.union(near).where(_near_sizes()).select("a", "b")
+
+
 def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
     roots = graph.components(links).withColumnRenamed("node", "_linked")
     return nodes.join(roots, F.col("node") == F.col("_linked"), "left").withColumn(
@@ -168,7 +191,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     own = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"))
     signed = common.stored(own.withColumn("s", _signatures("t")).select("id", "s.*"), "near")
     nodes = common.stored(signed.groupBy("node").agg(
-        F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-nodes")
+        F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "near-nodes")
+    printed = common.stored(_fingerprint_pairs(nodes), "near-printed")
     rows = nodes.select("node", "n", F.explode("bands").alias("key"))
     hubs = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("most")).where("hub.node < most")
     shared = common.stored(
@@ -176,16 +200,17 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     star = common.stored(
         shared.where("node <> hub").select(
             F.col("node").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("n_hub").alias("nb"))
-        .where(_near_sizes()).select("a", "b").distinct(), "near-star")
-    # The sets of the texts that share a band with another; one row of a node is enough.
-    wanted = shared.select("node").distinct().join(nodes.select("node", "least"), "node").select(
+        .where(_near_sizes()).select("a", "b").union(printed).distinct(), "near-star")
+    # The sets of the texts that share a band or a fingerprint with another; one row of a node is enough.
+    met = shared.select("node").union(printed.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = met.join(nodes.select("node", "least"), "node").select(
         F.col("node").alias("_node"), "least")
     sets = common.stored(
         own.join(wanted.select("least").distinct(), F.col("id").eqNullSafe(F.col("least")), "left_semi")
         .withColumn("set", _sets("t")).withColumn("node", _nodes("t")).select("node", "set")
         .join(wanted, F.col("node") == F.col("_node"), "left_semi").groupBy("node").agg(F.first("set").alias("set")), "near-sets")
     links = common.stored(_verified(star, sets), "near-links")
-    parted = common.stored(_roots(shared.select("node").distinct(), links), "near-parted")
+    parted = common.stored(_roots(met, links), "near-parted")
     placed = common.stored(shared.select("key", "node", "n").join(parted, "node"), "near-placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
     left = common.stored(

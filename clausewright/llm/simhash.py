@@ -38,6 +38,12 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     n = max(1, len(tokens) - shingle + 1)
     parts = map(b" ".join, zip(*(tokens[k:] for k in range(shingle)), strict=False)) if len(tokens) >= shingle else iter([b" ".join(tokens)])
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64, count=n)
+    return of_hashes(hashes)
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """64 bits of the hashes of shingles; 0 of none."""
+    n = len(hashes)
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, n, _BLOCK):
         bits = np.unpackbits(hashes[k : k + _BLOCK].astype("<u8").view(np.uint8), bitorder="little")

@@ -136,3 +136,15 @@ def test_names_of_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 7, "x"), (2, "A b c d e f", 8, "y")], "doc_id int, text string, _node int, _KEPT string")
     kept = near.one_of_each(docs)
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", 7, "x")]
+
+
+def test_operator_8_brings_the_first_candidates(spark):
+    """Pairs of its fingerprints: equal ones with the least node, near ones by their nodes, none of an empty set."""
+    rows = [(5, 10, 0b0), (3, 10, 0b0), (7, 10, 0b111), (9, 10, 0b1111 << 40), (11, 30, 0b1), (1, 0, 0b0)]
+    nodes = spark.createDataFrame(rows, "node long, n int, fp long")
+    found = {tuple(sorted(r)) for r in near._fingerprint_pairs(nodes).collect()}
+    # 11 is too long to be similar to any; 9 is four bits away; 1 holds no shingle.
+    assert found == {(3, 5), (3, 7)}
+    assert near.shingles(b"a b c d e f").size == 2
+    from clausewright.llm import simhash
+    assert simhash.of_hashes(near.shingles(b"one two three four five")) == simhash.fingerprint(b"one two three four five", 5)

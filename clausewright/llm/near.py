@@ -94,6 +94,11 @@ def _nodes(texts: pa.Array) -> pa.Array:
     return pa.array([node(shingles(data)) for part in common.chunks(texts) for data in part], pa.int64())
 
 
+def _node(text: Column) -> Column:
+    """The node of a text, never null: for a key that may be, a join puts a filter below it, which runs Python once more."""
+    return F.coalesce(_nodes(text), F.lit(0).cast("bigint"))
+
+
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _sets(texts: pa.Array) -> pa.Array:
     found = [shingles(data).view(np.int64) for part in common.chunks(texts) for data in part]
@@ -207,7 +212,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         F.col("node").alias("_node"), "least")
     sets = common.stored(
         own.join(wanted.select("least").distinct(), F.col("id").eqNullSafe(F.col("least")), "left_semi")
-        .withColumn("set", _sets("t")).withColumn("node", _nodes("t")).select("node", "set")
+        .withColumn("set", _sets("t")).withColumn("node", _node(F.col("t"))).select("node", "set")
         .join(wanted, F.col("node") == F.col("_node"), "left_semi").groupBy("node").agg(F.first("set").alias("set")), "near-sets")
     links = common.stored(_verified(star, sets), "near-links")
     parted = common.stored(_roots(met, links), "near-parted")
@@ -232,7 +237,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     keep = found.groupBy("root").agg(
         F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("first")).select(
         F.col("first.node").alias(kept), F.col("first.least").alias(first))
-    marked = docs.withColumn(own, _nodes(F.col(f"`{text}`")))
+    marked = docs.withColumn(own, _node(F.col(f"`{text}`")))
     rows = marked.join(
         keep, (F.col(own) == F.col(kept)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(first)), "left_semi")
     return rows.dropDuplicates([doc_id, own]).drop(own)

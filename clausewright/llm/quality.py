@@ -206,8 +206,9 @@ def reference(docs: DataFrame, text: str = "text", lang: str = "lang", limits: L
     """
     common.bounded_batches(docs.sparkSession)
     n = CLASSES + WORDS + 1
-    rows = docs.select(F.col(lang).cast("string").alias("l"), _histograms(F.col(text)).alias("h")).where("h is not null")
-    sums = rows.groupBy("l").agg(*[F.sum(F.col("h")[i]).alias(f"h{i}") for i in range(n)])
+    # Sums pass over null histograms; a filter on them would run Python a second time, in workers of its own.
+    rows = docs.select(F.col(lang).cast("string").alias("l"), _histograms(F.col(text)).alias("h"))
+    sums = rows.groupBy("l").agg(*[F.sum(F.col("h")[i]).alias(f"h{i}") for i in range(n)]).where(f"h{n - 1} is not null")
     sums = common.stored(sums, "quality-reference")
     total = sums.agg(*[F.sum(f"h{i}") for i in range(n)]).first()
     if total[n - 1] is None:

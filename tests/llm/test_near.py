@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clausewright.llm import near
+from clausewright.llm import common, near, quality
 
 
 def jaccard(a, b):
@@ -148,3 +148,27 @@ def test_operator_8_brings_the_first_candidates(spark):
     assert near.shingles(b"a b c d e f").size == 2
     from clausewright.llm import simhash
     assert simhash.of_hashes(near.shingles(b"one two three four five")) == simhash.fingerprint(b"one two three four five", 5)
+
+
+def test_no_plan_of_the_pipeline_runs_python_twice(spark, capsys, monkeypatch):
+    # Two passes in one task take two workers, and each worker that is kept later holds a vocabulary.
+    passes, stored = [], common.stored
+
+    def seen(df, name):
+        capsys.readouterr()
+        df.explain()
+        passes.append((capsys.readouterr().out.count("ArrowEvalPython"), name))
+        return stored(df, name)
+
+    monkeypatch.setattr(common, "stored", seen)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.stored(stage(spark, docs, "/root/testdata/sf0.001"), name)
+    assert max(passes)[0] == 1 and sum(n for n, _ in passes) == 7
+
+
+def test_a_language_of_failed_texts_has_no_reference(spark):
+    good = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, "few words", "de"), (2, None, "de"), (3, good, "en")], "doc_id bigint, text string, lang string")
+    assert list(quality.reference(docs).by_language) == ["en"]
+    assert quality.reference(docs.where("lang = 'de'")) == quality.Reference()

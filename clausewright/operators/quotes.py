@@ -117,6 +117,16 @@ def audit_quotes(citations: DataFrame, clauses: DataFrame) -> DataFrame:
     )
 
 
+def verified_prefixes(audited: DataFrame) -> DataFrame:
+    """Q3: the citations of which a true opening is kept.
+
+    They are picked as an array is taken apart: a filter would move below the audit, with each step written
+    into the next, and work every step out again for each place that reads it.
+    """
+    rest = [c for c in audited.columns if c != "quote"]
+    return audited.select(*rest, F.explode(F.when(F.col("trimmed"), F.array("quote"))).alias("quote"))
+
+
 # --- Q4: which documents hold a passage -------------------------------------
 
 BROADCAST_ROWS = 50_000  # candidate pairs with their passage

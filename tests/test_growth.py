@@ -77,3 +77,9 @@ def test_analysis_rows_parse_the_documents_once(spark, monkeypatch):
     monkeypatch.setattr(views, "clauses", lambda *a: calls.append(a) or parse(*a))
     assert entry.queries()["s5_analysis_rows"](spark, SF).count() > 0
     assert len(calls) == 1
+
+
+def test_a_kept_opening_is_not_picked_by_a_filter(spark):
+    """Q3: a filter on the outcome would move below the audit and hold its steps once more for each use of them."""
+    text = __spark_entry__.queries()["q3_verified_prefixes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in text.split("Join LeftOuter")[0]

@@ -86,7 +86,7 @@ def test_a_kept_opening_is_not_picked_by_a_filter(spark):
 
 
 # Clauses written once for several reads: as files they are smaller still.
-OVER_WRITTEN_CLAUSES = ["q5_contradictions", "q5_rule_counts", "q6_unraised_reductions"]
+OVER_WRITTEN_CLAUSES = ["q5_contradictions", "q5_rule_counts", "q6_unraised_reductions", "q7_weak_answers"]
 
 
 @pytest.mark.parametrize("name", OVER_WRITTEN_CLAUSES)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausewright.functions import fixed
 from clausewright.functions import text as tx
 from clausewright.operators import scale
+from clausewright.sources.shared import bounded_batches
 
 
 def margin_keys(lines: DataFrame) -> DataFrame:
@@ -84,6 +88,42 @@ def offset_violations(documents: DataFrame, spans: DataFrame, keys: list[str]) -
     return joined.filter(~cut.eqNullSafe(F.col("text"))).select(*keys, "char_start", "char_end", "text")
 
 
+def _wrong_spans():
+    """Number of spans (char_start, char_end, text) whose slice of the raw text differs from their text."""
+
+    @F.arrow_udf(T.LongType())
+    def wrong(raw: pa.Array, spans: pa.Array) -> pa.Array:
+        own = spans.flatten()
+        starts, ends = own.field("char_start").to_pylist(), own.field("char_end").to_pylist()
+        texts, sizes = own.field("text").to_pylist(), pc.list_value_length(spans).to_pylist()
+        out, at = [], 0
+        for text, n in zip(raw.to_pylist(), sizes):
+            out.append(sum(
+                starts[i] < 0 or text[starts[i]:ends[i]] != texts[i] for i in range(at, at + n)))
+            at += n
+        return pa.array(out, pa.int64())
+
+    return wrong
+
+
+def offset_audit(lines: DataFrame, clauses: DataFrame) -> DataFrame:
+    """C5 as counts: per document the spans of its lines and clauses, and those that `offset_violations` would name.
+
+    A document is one row with its spans: its text is never repeated for each of them, and Arrow's strings are
+    cut at a place without a walk from the beginning, as `substring` needs it.
+    """
+    bounded_batches(lines.sparkSession)
+    span = ["char_start", "char_end", "text"]
+    read = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", *span))).alias("_lines"))
+    cut = clauses.groupBy("doc_id").agg(F.collect_list(F.struct(*span)).alias("_clauses"))
+    only = F.transform("_lines", lambda x: F.struct(*[x[f].alias(f) for f in span]))
+    rows = read.join(cut.hint("merge"), "doc_id", "left").select(
+        "doc_id", F.array_join(F.transform("_lines", lambda x: x["text"]), "\n").alias("_raw"),
+        F.concat(only, F.coalesce("_clauses", F.slice(only, 1, 0))).alias("_spans"))
+    return rows.select(
+        "doc_id", F.size("_spans").cast("bigint").alias("spans"), _wrong_spans()("_raw", "_spans").alias("violations"))
+
+
 def as_read(lines: DataFrame) -> DataFrame:
     """A lone marker is read with the next line on its row, to its right."""
     w = Window.partitionBy("doc_id").orderBy("line_no")

@@ -330,12 +330,7 @@ def c3_kept(spark, sf):
   group by doc_id""")
 def c5(spark, sf):
     lines = views.styled_lines(spark, sf)
-    spans = segment.segment(lines).select("doc_id", "char_start", "char_end", "text").unionByName(
-        lines.select("doc_id", "char_start", "char_end", "text"))
-    bad = layout.offset_violations(ln.raw_text(lines), spans, ["doc_id"])
-    counts = bad.groupBy("doc_id").agg(F.count("*").alias("violations"))
-    return spans.groupBy("doc_id").agg(F.count("*").alias("spans")).join(
-        counts, "doc_id", "left").na.fill(0, ["violations"])
+    return layout.offset_audit(lines, segment.segment(lines))
 
 
 @query("b10_citation_ids", "select doc_id, order_idx, number, clause_id from v_ids")

@@ -93,3 +93,18 @@ OVER_WRITTEN_CLAUSES = ["q5_contradictions", "q5_rule_counts", "q6_unraised_redu
 def test_written_clauses_are_never_broadcast(spark, capsys, name):
     text = plan(__spark_entry__.queries()[name](spark, SF), capsys)
     assert "SortMergeJoin" in text and "BroadcastExchange" not in text
+
+
+def test_no_span_brings_the_text_of_its_document(spark, capsys):
+    from clausewright.operators import layout
+    from clausewright.sources import lines as ln
+
+    text = plan(__spark_entry__.queries()["c5_offset_audit"](spark, SF), capsys)
+    # Lines and clauses meet as one row for each document, and no exchange moves their texts after the first.
+    assert "Union" not in text and text.count("Exchange hashpartitioning") <= 2 and "substring(raw_text" not in text
+    docs = spark.createDataFrame([(1, "é one\n\ntwo"), (2, "three"), (3, "")], "doc_id bigint, text string")
+    lines = ln.line_table(docs)
+    spans = spark.createDataFrame(
+        [(1, 0, 5, "é one"), (1, 1, 5, "é one"), (1, 6, 99, "two"), (1, 0, 9, "é one\ntwo"), (2, -1, 5, "three")],
+        "doc_id bigint, char_start bigint, char_end bigint, text string")
+    assert sorted(map(tuple, layout.offset_audit(lines, spans).collect())) == [(1, 6, 1), (2, 2, 1)]

@@ -108,3 +108,9 @@ def test_no_span_brings_the_text_of_its_document(spark, capsys):
         [(1, 0, 5, "é one"), (1, 1, 5, "é one"), (1, 6, 99, "two"), (1, 0, 9, "é one\ntwo"), (2, -1, 5, "three")],
         "doc_id bigint, char_start bigint, char_end bigint, text string")
     assert sorted(map(tuple, layout.offset_audit(lines, spans).collect())) == [(1, 6, 1), (2, 2, 1)]
+
+
+@pytest.mark.parametrize("name", ["b11_structure_profile"])
+def test_documents_are_exchanged_once_and_parsed_once(spark, capsys, name):
+    text = plan(__spark_entry__.queries()[name](spark, SF), capsys)
+    assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1 and "Join" not in text

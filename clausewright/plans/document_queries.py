@@ -288,11 +288,11 @@ def x2_streams(spark, sf):
   from v_clauses c left join (select doc_id, order_idx, clause_type, likelihood, severity from v_analysed
     where clause_type is not null) a using (doc_id, order_idx)""")
 def s6(spark, sf):
-    rows = views.analysed_clauses(spark, sf)
-    analyses = rows.filter("clause_type is not null").select(
+    # The documents are parsed once. As files the keys are few bytes: the hint keeps them from a broadcast.
+    clauses = stores.written_once(views.clauses(spark, sf).select("doc_id", "order_idx", "number"), "clauses")
+    analyses = views.analysed(clauses).filter("clause_type is not null").select(
         "doc_id", "order_idx", "clause_type", "likelihood", "severity")
-    clauses = views.clauses(spark, sf).select("doc_id", "order_idx", "number")
-    return stores.clauses_with_analyses(clauses, analyses)
+    return stores.clauses_with_analyses(clauses, analyses.hint("merge"))
 
 
 @query("s7_claim_side_clauses", """

@@ -114,3 +114,13 @@ def test_no_span_brings_the_text_of_its_document(spark, capsys):
 def test_documents_are_exchanged_once_and_parsed_once(spark, capsys, name):
     text = plan(__spark_entry__.queries()[name](spark, SF), capsys)
     assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
+def test_clauses_and_their_analyses_parse_the_documents_once(spark, monkeypatch):
+    from clausewright.plans import views
+
+    calls = []
+    parse = views.clauses
+    monkeypatch.setattr(views, "clauses", lambda *a: calls.append(a) or parse(*a))
+    out = __spark_entry__.queries()["s6_clauses_with_analyses"](spark, SF)
+    assert len(calls) == 1 and "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()

@@ -110,7 +110,7 @@ def test_no_span_brings_the_text_of_its_document(spark, capsys):
     assert sorted(map(tuple, layout.offset_audit(lines, spans).collect())) == [(1, 6, 1), (2, 2, 1)]
 
 
-@pytest.mark.parametrize("name", ["b11_structure_profile"])
+@pytest.mark.parametrize("name", ["b11_structure_profile", "f16_dangling_annexures"])
 def test_documents_are_exchanged_once_and_parsed_once(spark, capsys, name):
     text = plan(__spark_entry__.queries()[name](spark, SF), capsys)
     assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1 and "Join" not in text

@@ -126,7 +126,7 @@ def test_clauses_and_their_analyses_parse_the_documents_once(spark, monkeypatch)
     assert len(calls) == 1 and "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["e3_answer_rows"])
+@pytest.mark.parametrize("name", ["e3_answer_rows", "e17_report"])
 def test_claims_of_large_numbers_are_judged(spark, folder, name):
     """A claim's number holds in 64 bits where three times it does not."""
     import os
